@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, quality, repeats, token_counts
+from . import bpe, langid, licenses, quality, repeats, simhash, token_counts
 from .common import table
 
 #: The ranks that op4, op9 and the pipeline use.
@@ -25,6 +25,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,5 +49,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {}
