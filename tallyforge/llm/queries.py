@@ -8,13 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, quality, repeats, simhash, token_counts
+from . import bpe, langid, licenses, quality, repeats, sharding, simhash, token_counts, warc
 from .common import table
 
 #: The ranks that op4, op9 and the pipeline use.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: op1: shards before, by source, and after.
+OLD_SHARDS, SHARDS = 16, 24
+
+
+def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    placed = sharding.reshard_documents(docs, F.pmod(F.crc32("source"), F.lit(OLD_SHARDS)), SHARDS)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = token_counts.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return token_counts.suffix_sums(hist)
@@ -49,5 +65,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_resharding, op3_warc, op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {}
