@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, quality, repeats, sharding, simhash, token_counts, warc
+from . import bpe, decontamination, langid, licenses, quality, repeats, sharding, simhash, token_counts, warc
 from .common import table
 
 #: The ranks that op4, op9 and the pipeline use.
@@ -26,6 +26,10 @@ def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_and_read(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,5 +69,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resharding, op3_warc, op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_resharding, op2_decontamination, op3_warc, op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL}
