@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Bytes of text in a block, unless one text is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct words that a task remembers; beyond it, it forgets them all and goes on.
 REMEMBERED = 1 << 20
 #: Bytes of a word from which merging uses a heap.
@@ -120,14 +120,23 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _numbers(values) -> bytes:
+    """32-bit numbers, byte by byte: first all lowest bytes, last all highest, which are mostly zero."""
+    return np.ascontiguousarray(np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _read_numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+
+
 def _pack(sizes: list[int], data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(struct.pack("<I", len(sizes)) + np.array(sizes, "<u4").tobytes() + data)
+    return zstandard.ZstdCompressor(3).compress(struct.pack("<I", len(sizes)) + _numbers(sizes) + data)
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     (n,) = struct.unpack_from("<I", raw)
-    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :]
+    return _read_numbers(raw[4:], n), raw[4 + 4 * n :]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,7 +146,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _explode(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() + 1 << 32  # no bucket has such a number
         for batch in batches:
             for i, j, _, _ in slices(batch.column("text"), BLOCK_BYTES):
                 number: dict[str, int] = {}
@@ -150,10 +159,8 @@ def _explode(pattern: str, buckets: int):
                 words = [w.encode() for w in number]
                 at = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
                 order = np.argsort(at, kind="stable")
-                place = np.empty(len(words), np.uint32)
-                place[order] = np.arange(len(words), dtype=np.uint32)
-                numbers = place[np.array(stream, np.int64)] if stream else np.zeros(0, np.uint32)
-                yield _rows([(block, block, -1, batch.column("doc_id")[i:j].to_pylist(), counts, zstandard.ZstdCompressor(1).compress(numbers.astype("<u4").tobytes()))])
+                steps = np.diff(order, prepend=0).astype(np.int32).view(np.uint32)
+                yield _rows([(block, block, -1, batch.column("doc_id")[i:j].to_pylist(), counts, _pack(steps, _numbers(stream)))])
                 cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
                 out = []
                 for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
@@ -175,8 +182,7 @@ def _encode(path: str):
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 if one.column("bucket")[0].as_py() < 0:
-                    yield one
-                    continue
+                    continue  # a stream
                 sizes, data = _unpack(one.column("payload")[0].as_py())
                 counts, ids, at = [], [], 0
                 for size in sizes.tolist():
@@ -190,7 +196,7 @@ def _encode(path: str):
                     counts.append(len(got))
                     ids += got
                 block = one.column("block")[0].as_py()
-                yield _rows([(block, block, one.column("bucket")[0].as_py(), None, None, _pack(counts, np.array(ids, "<u4").tobytes()))])
+                yield _rows([(block, block, one.column("bucket")[0].as_py(), None, None, _pack(counts, _numbers(ids)))])
 
     return run
 
@@ -199,13 +205,12 @@ def _reassemble(path: str, with_ids: bool):
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
-    def finish(head: dict, ids_of: list[list[int]], table: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(docs: list, doc_counts: list, stream: np.ndarray, ids_of: list[list[int]], table: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         text_of = [",".join(map(str, x)).encode() for x in ids_of]
         bytes_of = [b"".join([table[i] for i in x]) for x in ids_of]
         size_of = np.array([len(x) for x in ids_of], np.int64)
-        stream = np.frombuffer(zstandard.ZstdDecompressor().decompress(head["payload"]), "<u4")
         rows, at = [], 0
-        for doc_id, count in zip(head["docs"], head["counts"], strict=True):
+        for doc_id, count in zip(docs, doc_counts, strict=True):
             own = stream[at : at + count]
             at += count
             numbers = own.tolist()
@@ -216,22 +221,23 @@ def _reassemble(path: str, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
-        head, ids_of = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {name: batch.column(name)[row].as_py() for name in ("bucket", "docs", "counts", "payload")}
-                if one["bucket"] < 0:  # the first row of its block
-                    if head is not None:
-                        yield from finish(head, ids_of, table)
-                    head, ids_of = one, []
-                    continue
-                counts, data = _unpack(one["payload"])
-                ids, at = np.frombuffer(data, "<u4").tolist(), 0
-                for n in counts.tolist():
-                    ids_of.append(ids[at : at + n])
-                    at += n
-        if head is not None:
-            yield from finish(head, ids_of, table)
+                if batch.column("bucket")[row].as_py() >= 0:
+                    continue  # words
+                steps, raw = _unpack(batch.column("payload")[row].as_py())
+                stream = _read_numbers(raw, len(raw) // 4)
+                order = np.cumsum(steps.view(np.int32)).tolist()
+                ids_of: list[list[int]] = [[]] * len(order)
+                k = 0
+                for part in sorted(batch.column("parts")[row].as_py() or [], key=lambda x: x["bucket"]):
+                    counts, data = _unpack(part["payload"])
+                    ids, at = _read_numbers(data, len(data) // 4).tolist(), 0
+                    for n in counts.tolist():
+                        ids_of[order[k]] = ids[at : at + n]
+                        at += n
+                        k += 1
+                yield from finish(batch.column("docs")[row].as_py(), batch.column("counts")[row].as_py(), stream, ids_of, table)
 
     return run
 
@@ -243,10 +249,12 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     path: a file of base64 tokens and ranks that every executor can open; pattern: what splits text before merging.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, 4 * parts), _PACKED)
-    ids = packed.repartition(parts, "target").mapInArrow(_encode(path), _PACKED)
-    blocks = ids.repartition(parts, "target").sortWithinPartitions("block", "bucket")
+    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, 4 * parts), _PACKED).repartition(parts, "target")
+    ids = packed.mapInArrow(_encode(path), _PACKED).repartition(parts, "target")
+    by_block = ids.groupBy("target").agg(F.collect_list(F.struct("bucket", "payload")).alias("parts"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    # streams are read from the exchange that words came through, which Spark reuses as both branches take all of it
+    blocks = packed.join(by_block.hint("shuffle_hash"), "target", "left")
     return blocks.mapInArrow(_reassemble(path, with_ids), schema)
 
 
