@@ -262,3 +262,75 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame
     """doc_id, fp and component_id of every row of docs (doc_id, text)."""
     prints = written(fingerprints(docs, width), "fingerprints")
     return groups(prints, written(links(prints, most), "near"))
+
+
+def _shingles(text: str, width: int) -> np.ndarray:
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = list(map(b" ".join, zip(*(words[k:] for k in range(width))))) if len(words) >= width else [b" ".join(words)]  # noqa: B905
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s) for s in parts]), ">u8").astype(np.uint64))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Those pairs (a, b, different) of keys of texts (key, text) whose sets of shingles have a Jaccard similarity of
+    `least` or more. Two texts without words are alike. Each text is read once, for all pairs that it is in."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = _shingles(row["text"] or "", width).tobytes()
+                for a in range(0, len(row["pairs"]), 100):
+                    part = row["pairs"][a : a + 100]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in part], pa.int64()) for c in ("a", "b")] + [pa.array([own] * len(part), pa.binary())], ["a", "b", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the first text of a pair, until the second comes
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                pair = (row["a"], row["b"])
+                if held is None or held[0] != pair:
+                    held = (pair, row["own"])
+                    continue
+                x, y = np.frombuffer(held[1], np.uint64), np.frombuffer(row["own"], np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= least * (len(x) + len(y) - both):
+                    found.append(pair)
+                held = None
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a key in very many pairs has several rows
+    ends = one.withColumn("end", F.explode(F.array("a", "b"))).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(64)))
+    lists = ends.groupBy("end", "salt").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    met = lists.join(texts, lists["end"] == texts["key"]).select("text", "pairs").mapInArrow(sets, "a long, b long, own binary")
+    return met.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 7) -> DataFrame:
+    """docs without near copies: of each group that similar texts connect, the row with the smallest doc_id stays.
+
+    Fingerprints of the texts' different words tell which pairs to look at: those within `most` bits, along a spanning
+    forest with the closest first, and texts of one fingerprint with one of them. A pair is linked if its sets of
+    `width`-word shingles have that similarity or more. A null doc_id stays only where there is no other. Of rows with
+    equal doc_id and text, one stays.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    slim = docs.select("doc_id", "text", key.alias("key"))
+    prints = written(fingerprints(slim, 1, distinct=True, columns=("doc_id", "key")), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min("key").alias("first"))
+    within = prints.select("key", "fp").distinct().join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    near = links(prints, most)
+    across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    texts = slim.groupBy("key").agg(F.first("text").alias("text"))
+    linked = written(similar(within.unionByName(across), texts, width, similarity), "similar")
+    nodes = components(linked).select(F.col("node").alias("key"), "component")
+    least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("doc"))
+    labelled = least.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    kept = labelled.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("one")).select(F.col("one.doc.doc_id").alias("_doc"), F.col("one.key").alias("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), key.alias("_key"))
+    match = (rows["_key"] == kept["_key"]) & rows["_doc"].eqNullSafe(kept["_doc"])
+    one = rows.join(kept, match, "left_semi").groupBy("_doc", "_key").agg(F.first("row").alias("row"))
+    return one.select("row.*")

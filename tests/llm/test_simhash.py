@@ -101,3 +101,43 @@ def test_components(spark):
 
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_keep_one_of_each_group(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(1000)
+    rows = docs.collect()
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(r.text) for r in rows]
+    where = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(k)
+    pairs = {(a, b) for ids in where.values() if 1 < len(ids) for a in ids for b in ids if a < b}
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            up[find(a)] = find(b)
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(find(k), []).append(r.doc_id)
+    best = {min(g) for g in groups.values()}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert best <= kept and len(groups) < 0.97 * len(rows)
+    assert len(kept) <= len(best) + 0.02 * (len(rows) - len(best)) + 1
+
+
+def test_keep_one_of_odd_rows(odd, none):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 7, 8, 9, 10, 11, 13]
+    assert simhash.keep_one(none).count() == 0
