@@ -353,7 +353,8 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), leas
     lists = marked.repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("at", "key", "kind")).alias("all"))
     lists = lists.select("doc", F.expr("transform(filter(all, x -> x.kind != 1), x -> x.at)").alias("covered"), F.expr("filter(all, x -> x.kind > 0)").alias("wanted"))
     dealt = texts.repartition(parts, "doc")
-    edges = dealt.join(lists.where("size(wanted) > 0").select("doc", "wanted"), "doc").select("doc", "text", "wanted")
+    # both joins take all columns of the dealt texts, so that Spark deals them once and reuses the exchange
+    edges = dealt.join(lists.where("size(wanted) > 0").select("doc", "wanted"), "doc")
     around = edges.mapInArrow(_surroundings(least), "key long, doc long, at long, kind int, sides binary")
     spans = around.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_ordered(least), _SPANS)
     closed = spans.repartition(parts, "first", "second").sortWithinPartitions("first", "second", "open").mapInArrow(_closed, "doc long, start long, stop long")
