@@ -42,6 +42,8 @@ ARCHIVE_BYTES, DICTIONARY_BYTES = 16 << 20, 64 << 10
 #: Fewest records that a dictionary is built from, and bytes of records: fewer are compressed without.
 FEWEST = 8
 LEVEL = 6
+#: Segment length and substring length that dictionary building looks at; given, it makes one pass, not a search.
+SEGMENT, SUBSTRING = 200, 8
 
 
 def _record(kind: str, row: dict) -> bytes:
@@ -88,7 +90,7 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
     if len(records) < FEWEST:
         return b""
     try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, records)) // 8)), records, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, records)) // 8)), records, k=SEGMENT, d=SUBSTRING, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # nothing recurs
         return b""
 
