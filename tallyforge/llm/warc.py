@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 # Fixed values of the formats: magic number of a skippable frame, and line ends.
 SKIPPABLE = 0x184D2A5D
@@ -39,6 +39,8 @@ END = b"\r\n"
 LEAST_REVISIT = 100
 #: Bytes of payload in an archive, about, and bytes of a dictionary at most.
 ARCHIVE_BYTES, DICTIONARY_BYTES = 16 << 20, 64 << 10
+#: Recurring payloads (about 100 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 #: Fewest records that a dictionary is built from, and bytes of records: fewer are compressed without.
 FEWEST = 8
 LEVEL = 6
@@ -127,6 +129,10 @@ def plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     html: Column = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
     firsts = keyed.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # a few bytes for each payload that recurs; beyond a bound the payloads are shuffled to them
+    firsts = written(firsts, "payloads")
+    if firsts.count() <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
     return keyed.join(firsts, "digest", "left").select("page_id", "url", "html", "bytes", "digest", "first", (F.col("copies").isNotNull()).alias("copied"))
 
 
