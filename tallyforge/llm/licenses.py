@@ -44,7 +44,7 @@ TEMPLATES = {
     "gpl-3.0": "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation either <<end>> version 3",
     "gpl-2.0": "licensed under the <<optional>> terms of the <<end>> gnu general public license <<optional>> as published by the free software foundation either <<end>> version 2",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "released under the mit license",
+    "mit-notice": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var 4>> to deal in <<var 4>> without restriction",
 }
 
