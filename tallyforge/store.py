@@ -243,6 +243,17 @@ class Workspace:
             raise LedgerError(wrong.reason)
         self._commit([events.payload("deduped", duplicate_id=duplicate, survivor_id=survivor, strategy="manual", explanation=explanation)])
 
+    def categorize(self, transaction_id: str, category: str, rule_id: str = "manual", confidence: int = 100, reasons: tuple[str, ...] = ()) -> None:
+        """Tags one transaction with a category instead of any it has."""
+        if self.transactions().where(F.col("id") == transaction_id).first() is None:
+            raise LedgerError(f"no transaction {transaction_id}")
+        self._commit([events.payload("categorized", transaction_id=transaction_id, category=category, rule_id=rule_id, confidence=confidence, reasons=list(reasons))])
+
+    def transfer(self, date: str, payee: str, source: str, target: str, amount: str, commodity: str) -> str:
+        """Posts what goes from one account to another."""
+        plain = amount.strip().lstrip("+")
+        return self.add_transaction(date, payee, [f"{target}={plain}:{commodity}", f"{source}={plain[1:] if plain.startswith('-') else '-' + plain}:{commodity}"])
+
     def apply_rules(self, rule_set: list[rules.Rule]) -> dict:
         """Tags by rules; all tags of a run are one commit. Counts and conflicts."""
         seen = rules.evaluate(self.transactions(), rule_set)

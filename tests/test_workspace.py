@@ -67,6 +67,22 @@ def test_bad_rows_are_kept(work):
     assert not ok and "parse_errors: 1" in open(path).read()
 
 
+def test_one_transaction(spark, tmp_path):
+    w = Workspace.init(spark, str(tmp_path / "w"))
+    name = w.transfer("2026-02-01", "rent", "assets:bank", "expenses:rent", "120.50", "INR")
+    assert w.balance("assets:bank") == Decimal("-120.50") and w.balance("expenses:rent") == Decimal("120.50")
+    w.categorize(name, "expenses:a")
+    w.categorize(name, "expenses:b")
+    assert w.transactions().first().tags == ["category:expenses:b"] and w.replay(2).first().tags == ["category:expenses:a"]
+    other = w.transfer("2026-02-02", "rent", "assets:bank", "expenses:rent", "120.50", "INR")
+    w.mark_duplicate(other, name, "by hand")
+    assert w.balance("assets:bank") == Decimal("-120.50") and w.account("assets:bank") is None
+    with pytest.raises(LedgerError):
+        w.mark_duplicate(other, name)
+    with pytest.raises(LedgerError):
+        w.categorize("none", "x")
+
+
 def test_exports(work):
     w, d = work
     t = w.transactions()
