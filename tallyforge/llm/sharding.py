@@ -27,7 +27,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 #: Blocks of an old shard: sums that reach the driver are at most old shards times BLOCKS.
 BLOCKS = 1024
@@ -128,98 +128,121 @@ def _repair(sizes: dict[int, int], capacity: dict[int, int], rows: dict[int, lis
 
 
 _ADDED = ("old_shard", "size", "shard", "slot")
+_PLACE = ("_old", "_block", "_hash", "doc_id", "_text", "_size")
+
+
+def _keyed(rows: DataFrame, old: Column) -> DataFrame:
+    """rows with what places them: old shard, block, hashes of doc_id and text, and size."""
+    own = [c for c in rows.columns if c not in _ADDED]
+    keyed = rows.select(
+        *own,
+        F.coalesce(old, F.lit(0)).cast("int").alias("_old"),
+        row_size(F.col("text")).alias("_size"),
+        F.xxhash64("doc_id").alias("_hash"),
+        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"),
+    )
+    return keyed.withColumn("_block", F.pmod("_hash", F.lit(BLOCKS)).cast("int"))
+
+
+class Resharding:
+    """Where each row goes. Sizes are read once, into a narrow table; all that is summed is summed over that."""
+
+    def __init__(self, rows: DataFrame, old: Column, capacities: dict[int, int] | int):
+        self.rows, self.old = rows, old
+        self.spark = rows.sparkSession
+        narrow = written(_keyed(rows, old).select(*_PLACE), "sizes")
+        sums = narrow.groupBy("_old", "_block").agg(F.sum("_size").alias("n")).collect()  # bounded: shards times BLOCKS
+        supply: dict[int, int] = defaultdict(int)
+        for r in sums:
+            supply[r["_old"]] += r["n"]
+        self.capacities = dict(enumerate(near_equal(sum(supply.values()), capacities))) if isinstance(capacities, int) else capacities
+        self.flow = min_cost_flow(dict(supply), self.capacities)
+        self.starts, at = [], defaultdict(int)
+        for r in sorted(sums, key=lambda r: (r["_old"], r["_block"])):
+            self.starts.append((r["_old"], r["_block"], at[r["_old"]]))
+            at[r["_old"]] += r["n"]
+        self.moves: list[tuple] = []
+        self.moves = self._repair(self._placed(narrow))
+        counted = self._placed(narrow).groupBy("shard", "_old", "_block").agg(F.count("*").alias("rows")).collect()  # blocks, cuts and moves
+        self.firsts, at = [], defaultdict(int)
+        for r in sorted(counted, key=lambda r: (r["shard"], r["_old"], r["_block"])):
+            self.firsts.append((r["shard"], r["_old"], r["_block"], at[r["shard"]]))
+            at[r["shard"]] += r["rows"]
+        #: Shards that get or lose rows.
+        self.changed = sorted({k for shard, old_shard, _, _ in self.firsts if shard != old_shard for k in (shard, old_shard)})
+
+    def _placed(self, keyed: DataFrame) -> DataFrame:
+        """keyed rows with shard, and their place in their block."""
+        start_of = self.spark.createDataFrame(self.starts, "_old int, _block int, _from long")
+        by_old: dict[int, list] = defaultdict(list)
+        for i, j, _, stop in _pieces(self.flow):
+            by_old[i].append((stop, j))
+        shard = F.lit(None).cast("int")
+        for i, cuts in by_old.items():
+            inside = F.lit(cuts[-1][1])
+            for stop, j in reversed(cuts[:-1]):
+                inside = F.when(F.col("_middle") < 2 * stop, F.lit(j)).otherwise(inside)
+            shard = F.when(F.col("_old") == i, inside).otherwise(shard)
+        running = Window.partitionBy("_old", "_block").orderBy("_hash", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = keyed.join(F.broadcast(start_of), ["_old", "_block"])  # bounded: shards times BLOCKS
+        placed = placed.withColumn("_middle", 2 * (F.col("_from") + F.sum("_size").over(running)) - F.col("_size")).withColumn("_nth", F.row_number().over(running))
+        placed = placed.withColumn("shard", shard).drop("_from", "_middle")
+        if not self.moves:
+            return placed
+        moved = self.spark.createDataFrame(self.moves, "_old int, _block int, _nth int, _to int")
+        return placed.join(F.broadcast(moved), ["_old", "_block", "_nth"], "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to")
+
+    def _repair(self, placed: DataFrame) -> list[tuple]:
+        """(old shard, block, place in it, new shard) of rows to move, so that sizes come nearer to capacities.
+
+        Each shard offers two rows of each power of two of sizes, so that small and large gaps can be closed.
+        """
+        row = F.struct(F.xxhash64("_old", "_block", "_nth").alias("h"), "_size", "_old", "_block", "_nth")
+        kinds = placed.groupBy("shard", F.floor(F.log2("_size")).cast("int").alias("kind")).agg(F.sum("_size").alias("n"), F.min(row).alias("one"), F.max(row).alias("two")).collect()
+        sizes = dict.fromkeys(self.capacities, 0)
+        at_hand: dict[int, list] = defaultdict(list)
+        for r in kinds:
+            sizes[r["shard"]] += r["n"]
+            at_hand[r["shard"]] += [(x[1], x[2:]) for x in {tuple(r["one"]), tuple(r["two"])}]
+        for x in at_hand.values():
+            x.sort()
+        final: dict[tuple, int] = {}
+        for _, to, key in _repair(sizes, self.capacities, at_hand):
+            final[key] = to
+        return [(*key, to) for key, to in final.items()]
+
+    def assigned(self) -> DataFrame:
+        """The rows with old_shard, size, shard and slot (gapless from 0 in each shard)."""
+        own = [c for c in self.rows.columns if c not in _ADDED]
+        first_of = self.spark.createDataFrame(self.firsts, "shard int, _old int, _block int, _first long")
+        within = Window.partitionBy("_old", "_block", "shard").orderBy("_nth")
+        placed = self._placed(_keyed(self.rows, self.old)).join(F.broadcast(first_of), ["shard", "_old", "_block"])  # bounded like counted
+        out = placed.withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
+        return out.select(*own, F.col("_old").alias("old_shard"), F.col("_size").alias("size"), "shard", "slot")
+
+    def rewrite(self, path: str) -> DataFrame:
+        """Writes the shards whose rows changed below path, one directory each, and returns all shards' rows.
+
+        A shard that keeps just its rows is not written: its rows are returned from where they are.
+        """
+        every = self.assigned()
+        affected = every.where(F.col("shard").isin(self.changed)) if self.changed else every.where("false")
+        affected.write.partitionBy("shard").parquet(path)
+        back = self.spark.read.schema(every.schema).option("basePath", path).parquet(path).select(*every.columns)
+        if len(self.changed) == len({shard for shard, *_ in self.firsts}):
+            return back
+        return back.unionByName(every.where(~F.col("shard").isin(self.changed)) if self.changed else every)
 
 
 def reshard(rows: DataFrame, old: Column, capacities: dict[int, int] | int) -> DataFrame:
-    """rows (with doc_id and text) with old_shard, size, shard and slot (gapless from 0 in each shard).
+    """rows (with doc_id and text) with old_shard, size, shard and slot.
 
     capacities: bytes of each new shard, or their number for near equal ones. Given capacities must add up to the rows'
     sizes.
     """
-    spark = rows.sparkSession
-    keyed = rows.select("*", F.coalesce(old, F.lit(0)).cast("int").alias("_old"), row_size(F.col("text")).alias("_size"), F.xxhash64("doc_id").alias("_hash"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"))
-    own = [c for c in rows.columns if c not in _ADDED]
-    keyed = keyed.select(*own, "_old", "_size", "_hash", "_text", F.pmod("_hash", F.lit(BLOCKS)).cast("int").alias("_block"))
-    sums = keyed.groupBy("_old", "_block").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()  # bounded: shards times BLOCKS
-    supply: dict[int, int] = defaultdict(int)
-    for r in sums:
-        supply[r["_old"]] += r["n"]
-    total = sum(supply.values())
-    wanted = dict(enumerate(near_equal(total, capacities))) if isinstance(capacities, int) else capacities
-    flow = min_cost_flow(dict(supply), wanted)
-    starts, at = [], defaultdict(int)
-    for r in sorted(sums, key=lambda r: (r["_old"], r["_block"])):
-        starts.append((r["_old"], r["_block"], at[r["_old"]]))
-        at[r["_old"]] += r["n"]
-    start_of = spark.createDataFrame(starts, "_old int, _block int, _from long")
-    by_old: dict[int, list] = defaultdict(list)
-    for i, j, _, stop in _pieces(flow):
-        by_old[i].append((stop, j))
-
-    running = Window.partitionBy("_old", "_block").orderBy("_hash", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.join(F.broadcast(start_of), ["_old", "_block"])  # bounded as above
-    placed = placed.withColumn("_middle", 2 * (F.col("_from") + F.sum("_size").over(running)) - F.col("_size")).withColumn("_nth", F.row_number().over(running))
-    shard = F.lit(None).cast("int")
-    for i, cuts in by_old.items():
-        inside = F.lit(cuts[-1][1])
-        for stop, j in reversed(cuts[:-1]):
-            inside = F.when(F.col("_middle") < 2 * stop, F.lit(j)).otherwise(inside)
-        shard = F.when(F.col("_old") == i, inside).otherwise(shard)
-    placed = placed.withColumn("shard", shard)
-    placed = _repaired(placed, wanted)
-
-    counted = placed.groupBy("shard", "_old", "_block").agg(F.count("*").alias("rows")).collect()  # bounded: blocks plus cuts and moves
-    firsts, at = [], defaultdict(int)
-    for r in sorted(counted, key=lambda r: (r["shard"], r["_old"], r["_block"])):
-        firsts.append((r["shard"], r["_old"], r["_block"], at[r["shard"]]))
-        at[r["shard"]] += r["rows"]
-    first_of = spark.createDataFrame(firsts, "shard int, _old int, _block int, _first long")
-    within = Window.partitionBy("_old", "_block", "shard").orderBy("_nth")
-    out = placed.join(F.broadcast(first_of), ["shard", "_old", "_block"]).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
-    return out.select(*own, F.col("_old").alias("old_shard"), F.col("_size").alias("size"), "shard", "slot")
-
-
-def _repaired(placed: DataFrame, wanted: dict[int, int]) -> DataFrame:
-    """placed, with a few rows moved from too large to too small shards. A row is named by its block and place in it."""
-    spark = placed.sparkSession
-    narrow = placed.select("shard", "_old", "_block", "_nth", "_size")
-    sizes = {k: 0 for k in wanted} | {r["shard"]: r["n"] for r in narrow.groupBy("shard").agg(F.sum("_size").alias("n")).collect()}
-    over = {k: sizes[k] - wanted[k] for k in wanted}
-    need = max((abs(n) for n in over.values()), default=0)
-    if need <= 1:
-        return placed
-    # rows of different size, so that sums can be made of them: some of each power of two up to the largest gap
-    kind = F.floor(F.log2("_size")).cast("int")
-    few = narrow.where(F.col("_size") <= 2 * need).groupBy("shard", kind.alias("kind"))
-    took = few.agg(F.min(F.struct(F.xxhash64("_old", "_block", "_nth").alias("h"), "_size", "_old", "_block", "_nth")).alias("one"), F.max(F.struct(F.xxhash64("_old", "_block", "_nth").alias("h"), "_size", "_old", "_block", "_nth")).alias("two"))
-    at_hand: dict[int, list] = defaultdict(list)
-    for r in took.collect():  # two rows for each shard and power of two
-        for x in {tuple(r["one"]), tuple(r["two"])}:
-            at_hand[r["shard"]].append((x[1], x[2:]))
-    for x in at_hand.values():
-        x.sort()
-    moves = _repair(sizes, wanted, at_hand)
-    if not moves:
-        return placed
-    moved = spark.createDataFrame([(*row, to) for _, to, row in moves], "_old int, _block int, _nth int, _to int")
-    return placed.join(F.broadcast(moved), ["_old", "_block", "_nth"], "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to")
-
-
-def rewrite(resharded: DataFrame, path: str) -> DataFrame:
-    """Writes the shards whose rows changed below path, one directory each, and returns all shards' rows.
-
-    A shard that keeps just its rows is not written: its rows are returned from where they are.
-    """
-    spark = resharded.sparkSession
-    moved = resharded.select("old_shard", "shard").where("old_shard <> shard").distinct().collect()  # pairs of shards
-    changed = sorted({k for r in moved for k in r})
-    affected = resharded.where(F.col("shard").isin(changed)) if changed else resharded.where("false")
-    affected.write.partitionBy("shard").parquet(path)
-    back = spark.read.schema(resharded.schema).option("basePath", path).parquet(path)
-    kept = resharded.where(~F.col("shard").isin(changed)) if changed else resharded
-    return back.select(*resharded.columns).unionByName(kept)
+    return Resharding(rows, old, capacities).assigned()
 
 
 def reshard_documents(docs: DataFrame, old: Column, shards: int) -> DataFrame:
     """docs dealt to `shards` near equal shards, written to the shared folder and read again."""
-    return rewrite(reshard(docs, old, shards), shared_dir(docs.sparkSession, "shards"))
+    return Resharding(docs, old, shards).rewrite(shared_dir(docs.sparkSession, "shards"))
