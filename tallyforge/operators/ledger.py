@@ -77,7 +77,9 @@ def verify(transactions: DataFrame) -> DataFrame:
     """One row: counts of transactions, postings and broken transactions, and the ledger's hash."""
     counts = transactions.agg(F.count("*").alias("transaction_count"), F.coalesce(F.sum(F.size(F.coalesce("postings", F.array()))), F.lit(0)).cast("long").alias("posting_count"))
     broken = unbalanced(transactions).agg(F.count("*").alias("unbalanced_count"))
-    return counts.join(broken).join(ledger_hash(transactions))  # three rows of one
+    three = counts.unionByName(broken, allowMissingColumns=True).unionByName(ledger_hash(transactions), allowMissingColumns=True)  # rows of one each
+    names = ("transaction_count", "posting_count", "unbalanced_count", "ledger_hash")
+    return three.agg(*(F.max(n).alias(n) for n in names))
 
 
 def canonical_order(transactions: DataFrame) -> DataFrame:
