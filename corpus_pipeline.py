@@ -2,7 +2,13 @@
 decontamination, and byte-level BPE encoding.
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, and returns a DataFrame; run() writes
-it as Parquet in the shared folder and gives it to the next. All but the last return the columns of docs.
+it as Parquet in the shared folder and gives it to the next. All but the last return the columns of docs, whatever they
+are called, extra ones included.
+
+Nulls in any column but text mean nothing to a stage and are kept. A null text fails the quality rules; to the stages after
+them it is an empty text, it stays null, and it has no tokens. Repeated rows: the second stage keeps one of rows with equal
+doc_id and text. A null doc_id goes in the second stage where its group has another, and is compared like other ids in the
+fourth. Empty texts are copies of each other. Very long texts are worked on whole. Empty tables give empty tables.
 """
 
 from __future__ import annotations
