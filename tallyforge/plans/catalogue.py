@@ -164,7 +164,7 @@ def _dates(spark: SparkSession, d: str) -> DataFrame:
 def _why(spark: SparkSession, d: str) -> DataFrame:
     key = V.table(spark, d, "orders").agg(F.max(F.when(F.col("o_orderkey") % 30 == 0, F.col("o_orderkey"))).alias("k")).first().k
     tx = spark.range(1).select(S.uuid8(F.lit(f"v1|orders|{key}")).alias("id")).first().id
-    return events.why(V.log(spark, d), V.transactions(spark, d).where(F.col("id") == tx), tx)
+    return events.why(V.log(spark, d), V.transactions(spark, d), tx)
 
 
 _WHY_SQL = f"""WITH {_T}, w AS (SELECT * FROM t WHERE k=(SELECT max(o_orderkey) FROM orders WHERE o_orderkey%30=0))
@@ -208,8 +208,8 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         _TP + f", h AS (SELECT date, id, sha256({_JSON_ROW}) AS h FROM t), y AS (SELECT date, sha256(string_agg(h,'' ORDER BY id)) AS h FROM h GROUP BY date) SELECT sha256(string_agg(h,'' ORDER BY date)) AS ledger_hash FROM y",
     ),
     "canonical_order": (
-        lambda s, d: ledger.canonical_order(V.transactions(s, d)).select("id", "date", "payee").limit(100),
-        _TP + "SELECT id, date, payee FROM t ORDER BY date, id LIMIT 100",
+        lambda s, d: ledger.canonical_order(V.transactions(s, d)).select("id", "date", "payee"),
+        _TP + "SELECT id, date, payee FROM t ORDER BY date, id",
     ),
     "parse_date_ladder": (
         _dates,
