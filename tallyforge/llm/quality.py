@@ -30,7 +30,7 @@ from .common import SPACE, Windows, mix, per_text, slices, words
 #: Weights for each kind of n-gram.
 BUCKETS = 1 << 14
 #: Labelled rows to fit on, in expectation.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 #: Probability of good quality from which a text is kept.
 KEEP = 0.4
 #: Base rules: fewest words, and largest share of words in repeated 3-word windows.
