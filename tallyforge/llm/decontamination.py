@@ -27,6 +27,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words that are compared at once, how many may be replaced, and fewest words of an item.
 WINDOW, SUBSTITUTED, LEAST = 13, 2, 5
 #: Fixed positions of the masks; of any 13 words with 2 replaced, one of the two stands whole somewhere.
@@ -34,6 +36,9 @@ MASKS = ("11101011", "110100111")
 #: Rows of seeds (a hash, an item, a place: about 64 bytes) up to which they are broadcast.
 BROADCAST_SEEDS = 1_000_000
 
+#: Ids of documents with a leak up to which they are broadcast, so that documents aren't shuffled.
+BROADCAST_LEAKED = 1_000_000
+
 _BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -107,7 +112,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a leak; null doc_ids are compared like others."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    leaked = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    if leaked.count() <= BROADCAST_LEAKED:
+        leaked = F.broadcast(leaked)
     return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
 
 
