@@ -7,7 +7,8 @@ suffix array is built over each bounded set of them, by linear grouping (suffix_
    anchor. Equal windows have the same anchor at the same offset, so the windows of an anchor, which start side by
    side, can only equal windows of an anchor that is followed by the same LEAST - WIDE bytes: its key.
 2. Anchors are shuffled and sorted by key and by the hash of all bytes their windows cover, and read as a stream. An
-   anchor alone with its key is dropped. Two with all bytes equal repeat each other in all windows. What is left are
+   anchor alone with its key is dropped. Two with all bytes equal repeat each other in all windows. Of equal texts a task
+   passes on two, so a text of a third of all rows is few anchors. What is left are
    edges: the same key, other bytes around it. Copies of a passage, however many, end here.
 3. For edges, and one of each class of equal anchors beside them, the bytes around the key are fetched from the texts
    and shuffled by key. The suffixes are ordered over symbols: the bytes before the key, one symbol for the key, and
@@ -39,6 +40,8 @@ from .suffix_order import suffix_order
 
 #: Bytes of a repeated string, and positions among which its anchor is chosen.
 LEAST, WIDE = 200, 64
+#: Texts that a task remembers to have seen; beyond it, it forgets them all and goes on.
+REMEMBERED = 1 << 20
 #: Bytes of a long text that are worked on at once.
 STEP = 1 << 20
 #: Surroundings that are ordered together, about, and most of one key.
@@ -82,7 +85,16 @@ def _anchors(least: int):
         return pa.RecordBatch.from_arrays([long(key), long(whole), pa.array(doc), pa.array(where)], ["key", "whole", "doc", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in batches:
+            # two copies of a text tell all that more would: a task passes on no third one
+            docs, take = batch.column("doc").to_numpy(), []
+            for doc in docs.tolist():
+                seen[doc] = seen.get(doc, 0) + 1
+                take.append(seen[doc] <= 2)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            batch = batch.filter(pa.array(take, pa.bool_()))
             docs = batch.column("doc").to_numpy()
             for i, _, data, at in slices(batch.column("text"), STEP):
                 if len(at) > 2 or len(data) <= STEP:
