@@ -34,6 +34,8 @@ from .components import components
 HOT, GATHERED = 4096, 1 << 16
 #: Hashes summed up at once.
 STEP = 1 << 13
+#: Bytes of shingle sets that are sent at once, unless one is larger.
+SENT_BYTES = 1 << 22
 #: Pairs compared at once.
 BLOCK = 1 << 21
 
@@ -280,8 +282,9 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
         for batch in batches:
             for row in batch.to_pylist():
                 own = _shingles(row["text"] or "", width).tobytes()
-                for a in range(0, len(row["pairs"]), 100):
-                    part = row["pairs"][a : a + 100]
+                step = max(1, SENT_BYTES // (len(own) + 16))
+                for a in range(0, len(row["pairs"]), step):
+                    part = row["pairs"][a : a + step]
                     yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in part], pa.int64()) for c in ("a", "b")] + [pa.array([own] * len(part), pa.binary())], ["a", "b", "own"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
