@@ -102,8 +102,8 @@ def parse(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows:
     """Rows of RAW_ROW. Row numbers count records from 2, the first after the header."""
     if len(content) > max_bytes:
         raise SchemaError(f"file exceeds {max_bytes} bytes")
-    records = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
-    head = [h.strip() for h in next(records, [])]
+    records = csv.reader(io.StringIO(content.decode("utf-8-sig", "surrogateescape"), newline=""))
+    head = [h.strip().encode("utf-8", "replace").decode() for h in next(records, [])]
     place: dict[str, int] = {}
     for k, h in enumerate(head):
         place.setdefault(h.lower(), k)
@@ -118,7 +118,7 @@ def parse(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows:
             return
         except csv.Error as e:
             number += 1
-            yield (number, None, None, None, None, None, [], f"parse error at row {number}: row {number}: {e}")
+            yield (number, None, None, None, None, None, [], f"row {number}: {e}")
             continue
         if not record:
             continue
@@ -126,6 +126,9 @@ def parse(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows:
         if number - 1 > max_rows:
             raise SchemaError(f"too many data rows (max {max_rows})")
         values = [v.strip() for v in record]
+        if any("\udc80" <= c <= "\udcff" for v in values for c in v):  # bytes that no text has
+            yield (number, None, None, None, None, None, [], f"row {number}: invalid UTF-8")
+            continue
 
         def maybe(name: str, values=values) -> str | None:
             k = place.get(name.lower())

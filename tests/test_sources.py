@@ -45,6 +45,12 @@ def test_headers_and_short_records():
     assert rows("custom", "date,description,amount\n2026-01-01,x,\n")[0][-1] is None
 
 
+def test_bytes_that_are_no_text():
+    content = b"Date,Description,Amount\n2026-01-01,caf\xe9,1\n2026-01-02,ok,2\n"
+    got = list(A.parse(A.adapter("generic"), content))
+    assert [r[-1] for r in got] == ["row 2: invalid UTF-8", None]
+
+
 def test_caps():
     with pytest.raises(A.SchemaError, match="exceeds"):
         list(A.parse(A.adapter("generic"), b"x" * 11, max_bytes=10))
