@@ -7,8 +7,9 @@ suffix array is built over each bounded set of them, by linear grouping (suffix_
    anchor. Equal windows have the same anchor at the same offset, so the windows of an anchor, which start side by
    side, can only equal windows of an anchor that is followed by the same LEAST - WIDE bytes: its key.
 2. Anchors are shuffled and sorted by key and by the hash of all bytes their windows cover, and read as a stream. An
-   anchor alone with its key is dropped. Two with all bytes equal repeat each other in all windows. Of equal texts a task
-   passes on two, so a text of a third of all rows is few anchors. What is left are
+   anchor alone with its key is dropped. Two with all bytes equal repeat each other in all windows. Before the shuffle a
+   task passes on two of equal texts and two of equal anchors; of the other anchors it is known already that they repeat, and
+   they are dealt out by their place. So neither a text nor a passage of a third of all rows meets in one task. What is left are
    edges: the same key, other bytes around it. Copies of a passage, however many, end here.
 3. For edges, and one of each class of equal anchors beside them, the bytes around the key are fetched from the texts
    and shuffled by key. The suffixes are ordered over symbols: the bytes before the key, one symbol for the key, and
@@ -17,7 +18,8 @@ suffix array is built over each bounded set of them, by linear grouping (suffix_
 4. A key with more than MOST_EDGES different surroundings is not held in one task: each window of its anchors becomes a
    row, and the rows are shuffled and sorted by the window's hash, which splits the group as finely as it has
    different windows.
-5. The spans come together by text; each text is cut once.
+5. The spans come together by text; each text is cut once. Rows of a text that very many rows have are dealt to all
+   partitions.
 
 Hashes of 64 bits stand for a text (its rows are cut alike), a key and the bytes of an anchor.
 
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,14 @@ from .suffix_order import suffix_order
 
 #: Bytes of a repeated string, and positions among which its anchor is chosen.
 LEAST, WIDE = 200, 64
+#: Anchors among which a task looks for equal ones, about.
+GATHERED = 1 << 20
 #: Texts that a task remembers to have seen; beyond it, it forgets them all and goes on.
 REMEMBERED = 1 << 20
 #: Bytes of a long text that are worked on at once.
 STEP = 1 << 20
+#: Rows of one text from which they are dealt to all partitions, and how many such texts there may be.
+HOT, MOST_HOT = 1000, 2000
 #: Surroundings that are ordered together, about, and most of one key.
 TOGETHER, MOST_EDGES = 2048, 4096
 
@@ -80,9 +87,19 @@ def _anchors_of(data: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarra
 
 
 def _anchors(least: int):
-    def rows(doc, first, windows, anchor, key, whole) -> pa.RecordBatch:
-        where = first << 16 | (anchor - first) << 8 | windows
-        return pa.RecordBatch.from_arrays([long(key), long(whole), pa.array(doc), pa.array(where)], ["key", "whole", "doc", "at"])
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        doc, first, windows, anchor, key, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = first << 16 | (anchor - first) << 8 | windows
+        # of equal anchors two tell all that more would: the others are known to repeat, and are dealt out by place
+        both = mix(key) ^ whole
+        order = np.argsort(both, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = both[order][1:] != both[order][:-1]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        known = np.zeros(len(order), bool)
+        known[order] = nth >= 2
+        key = np.where(known, mix(doc.view(np.uint64) ^ mix(at.view(np.uint64))), key)
+        return pa.RecordBatch.from_arrays([long(key), long(whole), pa.array(doc), pa.array(at), pa.array(known)], ["key", "whole", "doc", "at", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -96,15 +113,23 @@ def _anchors(least: int):
                 seen.clear()
             batch = batch.filter(pa.array(take, pa.bool_()))
             docs = batch.column("doc").to_numpy()
+            parts: list[tuple] = []
+            waiting = 0
             for i, _, data, at in slices(batch.column("text"), STEP):
                 if len(at) > 2 or len(data) <= STEP:
                     text, *rest = _anchors_of(data, at, least)
-                    yield rows(docs[i + text], *rest)
-                    continue
-                for a in range(0, len(data), STEP):  # one long text
+                    parts.append((docs[i + text], *rest))
+                    waiting += len(text)
+                for a in range(0, len(data), STEP) if len(at) == 2 and len(data) > STEP else ():  # one long text
                     part = data[a : a + STEP + least - 1]
                     text, first, windows, anchor, *rest = _anchors_of(part, np.array([0, len(part)]), least)
-                    yield rows(docs[i + text], first + a, windows, anchor + a, *rest)
+                    parts.append((docs[i + text], first + a, windows, anchor + a, *rest))
+                    waiting += len(text)
+                if waiting > GATHERED:
+                    yield rows(parts)
+                    parts, waiting = [], 0
+            if parts:
+                yield rows(parts)
 
     return run
 
@@ -145,22 +170,34 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(at[take]), pa.array(np.where(kind > 0, key[take], 0)), pa.array(kind)], ["doc", "at", "key", "kind"])
 
     for batch in batches:
+        known = batch.column("known")
+        if known.true_count:
+            own = batch.filter(known)
+            yield pa.RecordBatch.from_arrays([own.column("doc"), own.column("at"), pa.array(np.zeros(own.num_rows, np.int64)), pa.array(np.full(own.num_rows, _COVERED, np.int32))], ["doc", "at", "key", "kind"])
+            batch = batch.filter(pc.invert(known))
         cols = [batch.column(c).to_numpy() for c in ("key", "whole", "doc", "at")]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if len(cols[0]) > 1:
             yield judge([c[:-1] for c in cols], (cols[0][-1], cols[1][-1]))
-        held = [c[-1:] for c in cols] if len(cols[0]) else None
+        held = [c[-1:] for c in cols] if len(cols[0]) else held
     if held is not None:
         yield judge(held, None)
 
 
 def _surroundings(least: int):
-    """Texts with their edges and witnesses: WIDE bytes before each key and WIDE after it, zeros where no window is."""
+    """Texts with their edges and witnesses: WIDE bytes before each key and WIDE after it, zeros where no window is.
+
+    Copies of a text follow each other, and only witnesses stand in them; the first copy in a task tells all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for row in range(batch.num_rows):
+                if batch.column("doc")[row].as_py() == last:
+                    continue
+                last = batch.column("doc")[row].as_py()
                 text = batch.column("text")[row].as_py().encode()
                 wanted = batch.column("wanted")[row].as_py()
                 sides = []
@@ -168,9 +205,8 @@ def _surroundings(least: int):
                     first, off, windows = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
                     after = first + off + least - WIDE
                     sides.append(text[first : first + off].rjust(WIDE, b"\0") + text[after : first + windows - 1 + least].ljust(WIDE, b"\0"))
-                doc = batch.column("doc")[row].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["key"] for x in wanted]), pa.array([doc] * len(wanted)), pa.array([x["at"] for x in wanted]), pa.array([x["kind"] for x in wanted], pa.int32()), pa.array(sides, pa.binary())],
+                    [pa.array([x["key"] for x in wanted]), pa.array([last] * len(wanted)), pa.array([x["at"] for x in wanted]), pa.array([x["kind"] for x in wanted], pa.int32()), pa.array(sides, pa.binary())],
                     ["key", "doc", "at", "kind", "sides"],
                 )
 
@@ -348,30 +384,46 @@ def _cut(least: int, names: list[str], whole_characters: bool):
     return run
 
 
+def _hot_texts(texts: DataFrame) -> list[int]:
+    """Hashes of texts that at least HOT rows and one of MOST_HOT rows have: at most MOST_HOT of them."""
+    counts = texts.groupBy("doc").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT, -(-total // MOST_HOT))
+    return [r["doc"] for r in counts.where(F.col("n") >= least).select("doc").collect()]
+
+
 def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), least: int = LEAST, whole_characters: bool = False) -> DataFrame:
     """The named columns of docs, which has `text`, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the
     remaining bytes). With whole_characters, no character is cut in two: what remains is valid UTF-8.
 
-    It is one lazy plan. Texts are shuffled once, by their hash; Spark reuses that exchange for both joins.
+    But for the count of copies it is one lazy plan. Texts are shuffled once, by their hash; Spark reuses that exchange for
+    both joins.
     """
     if least < WIDE + 8:
         raise ValueError(f"least must be {WIDE + 8} at least")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_{k}" for k in range(len(columns))]
     texts = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
-    anchors = texts.select("doc", "text").mapInArrow(_anchors(least), "key long, whole long, doc long, at long")
+    hot = _hot_texts(texts)
+    salted = F.col("doc").isin(hot) if hot else F.lit(False)
+    anchors = texts.select("doc", "text").mapInArrow(_anchors(least), "key long, whole long, doc long, at long, known boolean")
     sorted_anchors = anchors.repartition(parts, "key").sortWithinPartitions("key", "whole", "doc", "at")
     marked = sorted_anchors.mapInArrow(_repeated, "doc long, at long, key long, kind int")
     lists = marked.repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("at", "key", "kind")).alias("all"))
     lists = lists.select("doc", F.expr("transform(filter(all, x -> x.kind != 1), x -> x.at)").alias("covered"), F.expr("filter(all, x -> x.kind > 0)").alias("wanted"))
-    dealt = texts.repartition(parts, "doc")
+    # rows of a text that very many rows have are dealt to all partitions, and its spans to each of these
+    # (never null: a filter against nulls in one join only would keep Spark from sharing the exchange)
+    salt = F.coalesce(F.when(salted, F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")), F.lit(0))
+    dealt = texts.withColumn("salt", salt)
     # both joins take all columns of the dealt texts, so that Spark deals them once and reuses the exchange
-    edges = dealt.join(lists.where("size(wanted) > 0").select("doc", "wanted"), "doc")
+    salts = F.when(salted, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    edges = dealt.join(lists.where("size(wanted) > 0").select("doc", "wanted", F.explode(salts).alias("salt")), ["doc", "salt"])
     around = edges.mapInArrow(_surroundings(least), "key long, doc long, at long, kind int, sides binary")
     spans = around.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_ordered(least), _SPANS)
     closed = spans.repartition(parts, "first", "second").sortWithinPartitions("first", "second", "open").mapInArrow(_closed, "doc long, start long, stop long")
     more = closed.groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("more"))
-    whole = dealt.join(lists.select("doc", "covered"), "doc", "left").join(more, "doc", "left")
+    found = lists.select("doc", "covered").join(more, "doc", "left").select("doc", "covered", "more", F.explode(salts).alias("salt"))
+    whole = dealt.join(found, ["doc", "salt"], "left")
     fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(columns, names, strict=True))
     cut = whole.select(*names, "text", "covered", "more").mapInArrow(_cut(least, names, whole_characters), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)), "n_bytes", "n_removed", "n_spans", "kept")

@@ -94,6 +94,18 @@ def test_hot_keys_are_opened(spark, monkeypatch):
     check(df)
 
 
+def test_hot_copies_and_passages(spark, monkeypatch):
+    passage = "a passage that stands in very many of the documents, word for word, and that is long enough to be an anchor of its own, " * 3
+    rows = [(i, "the same text " * 20) for i in range(60)] + [(100 + i, f"{i * 7919} before " + passage + f" after {i * 104729}") for i in range(80)] + [(300 + i, "short") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(repeats, "HOT", 10)
+    check(df)
+    anchors = df.selectExpr("xxhash64(text) as doc", "text").mapInArrow(repeats._anchors(200), "key long, whole long, doc long, at long, known boolean")
+    most = anchors.groupBy("key", "whole").count().agg({"count": "max"}).first()[0]
+    assert most <= 2 * df.rdd.getNumPartitions()
+    assert len(repeats._hot_texts(df.selectExpr("xxhash64(text) as doc"))) == 2
+
+
 def test_whole_characters(spark):
     rows = [(1, "é" * 150 + "a"), (2, "z" + "é" * 150), (3, None), (4, "ok")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
