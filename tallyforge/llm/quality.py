@@ -39,6 +39,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _KINDS = 3
+#: Character n-grams that are hashed at once.
+STEP = 1 << 20
 
 
 def _repeats(keys: np.ndarray) -> np.ndarray:
@@ -94,24 +96,20 @@ class _Texts:
             hit[at + k] = True
         return np.bincount(t[hit], minlength=self.n)
 
-    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each kind of n-gram: bucket and text of each."""
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Kind, and bucket and text of each n-gram of the kind; character n-grams come in steps."""
         w, t = self.word, self.text
         inner = t[:-1] == t[1:]
-        two = mix(w[:-1] + np.uint64(7) * w[1:])[inner]
-        d = self.data
-        if len(d) >= 4:
-            four = d[:-3].astype(np.uint32) | d[1:-2].astype(np.uint32) << 8 | d[2:-1].astype(np.uint32) << 16 | d[3:].astype(np.uint32) << 24
-            whole = np.ones(len(four), bool)
-            for k in (1, 2, 3):
-                cut = self.at[1:-1] - k
-                whole[cut[(cut >= 0) & (cut < len(four))]] = False
-            text = np.repeat(np.arange(self.n), np.diff(self.at))[: len(four)]
-            chars = (four * np.uint32(2654435761) >> np.uint32(18)).astype(np.int64)[whole], text[whole]
-        else:
-            chars = np.zeros(0, np.int64), np.zeros(0, np.int64)
         bucket = lambda h: (h >> np.uint64(50)).astype(np.int64)  # noqa: E731  14 bits
-        return [(bucket(w), t), (bucket(two) + BUCKETS, t[:-1][inner]), (chars[0] + 2 * BUCKETS, chars[1])]
+        yield 0, bucket(w), t
+        yield 1, bucket(mix(w[:-1] + np.uint64(7) * w[1:])[inner]) + BUCKETS, t[:-1][inner]
+        for a in range(0, max(0, len(self.data) - 3), STEP):
+            d = self.data[a : a + STEP + 3].astype(np.uint32)
+            four = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)
+            place = np.arange(a, a + len(four))
+            text = np.searchsorted(self.at, place, "right") - 1
+            whole = place + 4 <= self.at[text + 1]
+            yield 2, (four * np.uint32(2654435761) >> np.uint32(18)).astype(np.int64)[whole] + 2 * BUCKETS, text[whole]
 
 
 @dataclass
@@ -122,11 +120,11 @@ class Model:
     shift: float = 0.0
 
     def margins(self, texts: _Texts) -> np.ndarray:
-        total = np.full(texts.n, self.bias)
-        for bucket, text in texts.grams():
-            n = np.bincount(text, minlength=texts.n)
-            total += np.bincount(text, self.weights[bucket], minlength=texts.n) / np.maximum(n, 1)
-        return total
+        total, n = np.zeros((_KINDS, texts.n)), np.zeros((_KINDS, texts.n))
+        for kind, bucket, text in texts.grams():
+            n[kind] += np.bincount(text, minlength=texts.n)
+            total[kind] += np.bincount(text, self.weights[bucket], minlength=texts.n)
+        return self.bias + (total / np.maximum(n, 1)).sum(axis=0)
 
     def probabilities(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
@@ -137,17 +135,17 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, at in slices(batch.column("text")):
             texts = _Texts(data, at)
-            ids, counts = [np.zeros(0, np.int64)] * texts.n, [np.zeros(0, np.float32)] * texts.n
-            for bucket, text in texts.grams():
-                key, count = np.unique(text * (_KINDS * BUCKETS) + bucket, return_counts=True)
-                own, cut = np.divmod(key, _KINDS * BUCKETS)
-                stops = np.searchsorted(own, np.arange(texts.n + 1))
-                for k in range(texts.n):
-                    a, b = stops[k], stops[k + 1]
-                    ids[k] = np.concatenate([ids[k], cut[a:b]])
-                    counts[k] = np.concatenate([counts[k], (count[a:b] / max(1, count[a:b].sum())).astype(np.float32)])
+            keys, n = [], np.zeros((_KINDS, texts.n))
+            for kind, bucket, text in texts.grams():
+                keys.append(text * (_KINDS * BUCKETS) + bucket)
+                n[kind] += np.bincount(text, minlength=texts.n)
+            key, count = np.unique(np.concatenate(keys), return_counts=True)
+            own, cut = np.divmod(key, _KINDS * BUCKETS)
+            share = (count / n[cut // BUCKETS, own]).astype(np.float32)
+            stops = np.searchsorted(own, np.arange(texts.n + 1))
+            ids, counts = ([x[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)] for x in (cut, share))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("quality")[i:j].cast(pa.int32()), batch.column("part")[i:j].cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
+                [batch.column("quality")[i:j].cast(pa.int32()), batch.column("part")[i:j].cast(pa.int32()), pa.array(list(ids), pa.list_(pa.int32())), pa.array(list(counts), pa.list_(pa.float32()))],
                 ["quality", "part", "ids", "values"],
             )
 
