@@ -190,7 +190,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sorted_rows = dealt.repartition(parts, "archive").sortWithinPartitions("archive", "page_id", "digest", "url")
     done = sorted_rows.mapInArrow(_archives(folder), "archive string, records long, bytes long")
-    return spark.createDataFrame(done.collect(), "archive string, records long, bytes long")  # a row for each archive
+    return written(done, "archives")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
