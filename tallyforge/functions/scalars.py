@@ -5,6 +5,8 @@ All are built-in expressions, so they stay in generated code and Catalyst sees t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,21 @@ from ..types import AMOUNT, POSTING
 
 GENESIS = "0" * 64
 
-#: Date layouts in the order in which they are tried. A year of less than four digits is one of this century.
-DATE_LAYOUTS = ("y-M-d", "d/M/y", "d-M-y", "y/M/d", "M/d/y", "d MMM y", "d-MMM-y")
+#: Numeric date layouts in the order in which they are tried: what the text looks like, and where year, month and day stand.
+DATE_LAYOUTS = (
+    (r"^\d{1,4}-\d{1,2}-\d{1,2}$", 0, 1, 2),
+    (r"^\d{1,2}/\d{1,2}/\d{1,4}$", 2, 1, 0),
+    (r"^\d{1,2}-\d{1,2}-\d{1,4}$", 2, 1, 0),
+    (r"^\d{1,4}/\d{1,2}/\d{1,2}$", 0, 1, 2),
+    (r"^\d{1,2}/\d{1,2}/\d{1,4}$", 2, 0, 1),
+)
+#: Layouts with a month's name, tried after them.
+NAMED_LAYOUTS = ((r"^\d{1,2} [A-Za-z]{3} \d{1,4}$", "d MMM y"), (r"^\d{1,2}-[A-Za-z]{3}-\d{1,4}$", "d-MMM-y"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def trim_all(text: Column) -> Column:
@@ -21,12 +36,30 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """A date, or null if there is no such day. A year below 100 is one of this century."""
+    year = F.when(year < 100, year + 2000).otherwise(year)
+    month = F.when(month.between(1, 12), month)
+    last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.make_date(year, month, F.when(day.between(1, last), day))
+
+
 def parse_date(text: Column) -> Column:
-    """The first layout that fits, day before month; null if none does, or a run of five digits stands in it."""
-    plain = trim_all(text)
-    first = F.coalesce(*(F.try_to_date(plain, layout) for layout in DATE_LAYOUTS))
-    this_century = F.make_date(F.year(first) + 2000, F.month(first), F.dayofmonth(first))
-    return F.when(~plain.rlike(r"\d{5}"), F.when(F.year(first) < 100, this_century).otherwise(first))
+    """The first layout that fits, day before month; null if none does.
+
+    Layouts are told apart by patterns and numbers, since a parser that fails throws, which costs more than all else.
+    """
+
+    def numbered(x: Column) -> Column:
+        numbers = F.transform(F.split(x, "[-/]"), lambda n: n.try_cast("int"))
+        tried = lambda n: F.coalesce(*(F.when(x.rlike(like), _day(n[y], n[m], n[d])) for like, y, m, d in DATE_LAYOUTS))
+        return let(numbers, tried)
+
+    def named(x: Column) -> Column:
+        first = F.coalesce(*(F.when(x.rlike(like), F.try_to_date(x, layout)) for like, layout in NAMED_LAYOUTS))
+        return let(first, lambda d: _day(F.year(d), F.month(d), F.dayofmonth(d)))
+
+    return let(trim_all(text), lambda x: F.when(x.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}$"), numbered(x)).otherwise(named(x)))
 
 
 def amount_digits(text: Column) -> Column:
@@ -36,9 +69,8 @@ def amount_digits(text: Column) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """An exact decimal, or null where it isn't a plain number of at most 10 fractional digits."""
-    digits = amount_digits(text)
-    plain = digits.rlike(r"^[+-]?(\d+\.?\d{0,10}|\.\d{1,10})$")
-    return F.when(plain, digits.try_cast(AMOUNT))
+    plain = r"^[+-]?(\d+\.?\d{0,10}|\.\d{1,10})$"
+    return let(amount_digits(text), lambda x: F.when(x.rlike(plain), x.try_cast(AMOUNT)))
 
 
 def amount_text(text: Column) -> Column:
@@ -51,7 +83,7 @@ def amount_text(text: Column) -> Column:
 def canonical_amount(text: Column) -> Column:
     """Without zeros at the end of the fraction: 10.00 is 10."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(bare == "-0", "0").otherwise(bare)
+    return F.regexp_replace(bare, "^-0$", "0")
 
 
 def decimal_text(amount: Column) -> Column:
@@ -103,9 +135,8 @@ def _collapsed(text: Column) -> Column:
 
 def merchant_name(text: Column) -> Column:
     """Upper-cased name with single blanks, without a reference such as *ABC123 at its end unless that is all."""
-    whole = _collapsed(text)
-    bare = trim_all(F.regexp_replace(whole, r"[*#][A-Z0-9]{4,}$", ""))
-    return F.when(bare == "", whole).otherwise(bare)
+    bare = lambda whole: trim_all(F.regexp_replace(whole, r"[*#][A-Z0-9]{4,}$", ""))
+    return let(_collapsed(text), lambda whole: let(bare(whole), lambda b: F.when(b == "", whole).otherwise(b)))
 
 
 def merchant_key(text: Column) -> Column:
@@ -134,10 +165,10 @@ def fingerprint(adapter: Column, account: Column, date: Column, text: Column, co
 
 def uuid8(text: Column) -> Column:
     """A UUID of version 8 from the first half of the SHA-256 of a text."""
-    h = F.sha2(text, 256)
-    at = lambda start, n: F.substring(h, start, n)
-    variant = F.lower(F.hex((F.conv(at(17, 2), 16, 10).cast("int").bitwiseAND(63)).bitwiseOR(128)))
-    return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-8"), at(14, 3), F.lit("-"), variant, at(19, 2), F.lit("-"), at(21, 12))
+    at = lambda h, start, n: F.substring(h, start, n)
+    variant = lambda h: F.lower(F.hex((F.conv(at(h, 17, 2), 16, 10).cast("int").bitwiseAND(63)).bitwiseOR(128)))
+    parts = lambda h: F.concat(at(h, 1, 8), F.lit("-"), at(h, 9, 4), F.lit("-8"), at(h, 14, 3), F.lit("-"), variant(h), at(h, 19, 2), F.lit("-"), at(h, 21, 12))
+    return let(F.sha2(text, 256), parts)
 
 
 def bean_account(account: Column) -> Column:

@@ -70,37 +70,40 @@ _TRANSACTION = ("id", "date", "payee", "narration", "import_batch_id", "duplicat
 
 def transactions(converted: DataFrame) -> DataFrame:
     """The transactions of the rows that pass all checks."""
-    return converted.where("row_fingerprint is not null").select(*_TRANSACTION)
+    return converted.where("parse_error is null and error is null").select(*_TRANSACTION)
 
 
 def statement_rows(converted: DataFrame, adapter: str, options: Options) -> DataFrame:
     """One row for each raw row: ok, convert_error or parse_error, in that order of precedence for a row number."""
-    status = F.when(F.col("parse_error").isNotNull(), "parse_error").when(F.col("error").isNotNull(), "convert_error").otherwise("ok")
     message = F.coalesce("parse_error", "error")
-    number = F.coalesce("row_number", S.error_row(message)).cast("long")
-    rows = converted.select(
-        F.lit(options.batch_id).cast("string").alias("batch_id"),
-        F.lit(adapter).alias("adapter"),
-        F.lit(options.bank).alias("account_id"),
-        number.alias("row_number"),
-        "date_raw",
-        "amount_raw",
-        "currency_raw",
-        "description_raw",
-        "balance_raw",
-        "source_refs",
-        F.col("row_fingerprint").alias("fingerprint"),
-        status.alias("parse_status"),
-        message.alias("error"),
-        F.when(status == "ok", F.col("id")).alias("transaction_id"),
-    )
-    return first_per_row(rows)
-
 
-def first_per_row(rows: DataFrame) -> DataFrame:
-    """Parse errors for a row number that is taken are dropped; of several for one, the first by text stays."""
-    taken = rows.where("parse_status <> 'parse_error'")
-    errors = rows.where("parse_status = 'parse_error'").join(taken.select("batch_id", "row_number").distinct(), ["batch_id", "row_number"], "left_anti")
+    def project(part: DataFrame, status: Column) -> DataFrame:
+        return part.select(
+            F.lit(options.batch_id).cast("string").alias("batch_id"),
+            F.lit(adapter).alias("adapter"),
+            F.lit(options.bank).alias("account_id"),
+            F.coalesce("row_number", S.error_row(message)).cast("long").alias("row_number"),
+            "date_raw",
+            "amount_raw",
+            "currency_raw",
+            "description_raw",
+            "balance_raw",
+            "source_refs",
+            F.col("row_fingerprint").alias("fingerprint"),
+            status.alias("parse_status"),
+            message.alias("error"),
+            F.col("id").alias("transaction_id"),
+        )
+
+    # split by a column of the source, so that neither side converts the other's rows to leave them out
+    taken = project(converted.where("parse_error is null"), F.when(F.col("error").isNotNull(), "convert_error").otherwise("ok"))
+    failed = project(converted.where("parse_error is not null"), F.lit("parse_error"))
+    numbers = converted.where("parse_error is null").select(F.lit(options.batch_id).cast("string").alias("batch_id"), F.col("row_number").cast("long").alias("row_number")).distinct()
+    return taken.unionByName(first_per_row(failed, numbers))
+
+
+def first_per_row(errors: DataFrame, taken: DataFrame) -> DataFrame:
+    """Parse errors without those for a row number that is taken; of several for one, the first by text stays."""
+    left = errors.join(taken, [errors["batch_id"].eqNullSafe(taken["batch_id"]), errors["row_number"] == taken["row_number"]], "left_anti")
     order = Window.partitionBy("batch_id", "row_number").orderBy("error")
-    first = errors.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return taken.unionByName(first.select(*taken.columns))
+    return left.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
