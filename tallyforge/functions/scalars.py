@@ -31,9 +31,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# The characters that Unicode calls white space.
+WHITE = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -130,7 +134,7 @@ def account_type(account: Column) -> Column:
 
 
 def _collapsed(text: Column) -> Column:
-    return F.regexp_replace(F.upper(trim_all(text)), r"(?U)\s+", " ")
+    return F.regexp_replace(F.upper(trim_all(text)), f"[{WHITE}]+", " ")
 
 
 def merchant_name(text: Column) -> Column:
