@@ -44,7 +44,7 @@ from .suffix_order import suffix_order
 #: Bytes of a repeated string, and positions among which its anchor is chosen.
 LEAST, WIDE = 200, 64
 #: Anchors among which a task looks for equal ones, about.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 #: Texts that a task remembers to have seen; beyond it, it forgets them all and goes on.
 REMEMBERED = 1 << 20
 #: Bytes of a long text that are worked on at once.
