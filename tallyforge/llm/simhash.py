@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -38,6 +38,11 @@ STEP = 1 << 13
 SENT_BYTES = 1 << 22
 #: Pairs compared at once.
 BLOCK = 1 << 21
+#: First shingles that are packed at once, and the share of a text's shingles that are looked at besides those that a
+#: similar text may lack. Any share gives the same links; a larger one deals out more and tells common passages apart better.
+PACKED, SEEN = 1 << 20, 0.5
+#: Parts that a text's shingles are counted in.
+SKETCH = 128
 
 
 def fingerprint(text: str, width: int, distinct: bool = False) -> int:
@@ -312,14 +317,198 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return met.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
 
 
+def _fewest(n: np.ndarray, least: float) -> np.ndarray:
+    """Of a set of n, how many a set of that Jaccard similarity shares at least."""
+    return np.maximum(1, np.ceil(least * n - 1e-9)).astype(np.int64)
+
+
+def _depth(n: np.ndarray, least: float) -> np.ndarray:
+    """How many of its first shingles a text of n shares with one of its size that is similar, among those looked at."""
+    return np.minimum(_fewest(n, least), (SEEN * n).astype(np.int64) + 1)
+
+
+def _packed(width: int, least: float, buckets: int):
+    """The first shingles of each text, by hash: rows of a bucket of hashes, with hashes, keys and sizes end to end."""
+
+    def pack(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+        length = [len(x) for x, _, _ in held]
+        h = np.concatenate([x for x, _, _ in held])
+        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        h, bucket = h[order], bucket[order]
+        key, n = (np.repeat(np.array([x[k] for x in held], t), length)[order] for k, t in ((1, np.int64), (2, np.int32)))
+        cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + np.uint64(1)))
+        ends = np.append(cuts[1:], len(h))
+        parts = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (h, key, n)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *parts], ["bucket", "h", "keys", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                own = _shingles(text.as_py() or "", width)
+                own = own if len(own) else np.zeros(1, np.uint64)  # texts without words are alike
+                n = np.array(len(own))
+                own = own[: int(n - _fewest(n, least) + _depth(n, least))]
+                held.append((own, key, int(n)))
+                size += len(own)
+                if size >= PACKED:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def _repeated(least: float):
+    """Of rows by bucket, the shingles that several texts have: key, h, how many have it, size of the text, and how many
+    of the text's most frequent ones need not be looked at."""
+
+    def find(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        h, key, n = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.int64, np.int32)))
+        order = np.argsort(h)
+        h = h[order]
+        cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        have = np.diff(np.append(cuts, len(h)))
+        have = np.repeat(have, have)
+        many = have > 1
+        key, n = key[order[many]], n[order[many]]
+        spared = _depth(_fewest(n, least), least) - 1
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[many].view(np.int64)), pa.array(have[many]), pa.array(n), pa.array(spared)], ["key", "h", "have", "n", "spared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last = [], None
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "keys", "n")), strict=True):
+                if rows and bucket != last:
+                    yield find(rows)
+                    rows = []
+                last = bucket
+                rows.append(row)
+        if rows:
+            yield find(rows)
+
+    return run
+
+
+def _sketched(width: int):
+    """key and sketch: how many shingles of the text fall to each of SKETCH parts, up to 255. The sum of differences of two
+    sketches is at most the number of shingles that only one of the two has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = []
+            for text in batch.column("text"):
+                counts = np.bincount((_shingles(text.as_py() or "", width) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                sketches.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sketches, pa.binary())], ["key", "sketch"])
+
+    return run
+
+
+def _couples(least: float, nearest: bool):
+    """Rows sorted by h, block and left (homes of the block first): pairs of a home and another of its h that are of
+    different components and may be similar by size and sketch; all of them, or for each home the one with the nearest."""
+
+    def compare(h: np.ndarray, block: np.ndarray, left: np.ndarray, key: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])))
+        size = np.diff(np.append(cuts, len(h)))
+        first, wide = np.repeat(cuts, size), np.repeat(size, size)
+        home = np.flatnonzero(left & (wide > 1))
+        pairs = np.cumsum(wide[home])
+        a = 0
+        while a < len(home):
+            b = max(a + 1, int(np.searchsorted(pairs, (pairs[a - 1] if a else 0) + BLOCK // 8, "right")))
+            w = wide[home[a:b]]
+            i = np.repeat(home[a:b], w)
+            j = np.repeat(first[home[a:b]], w) + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+            a = b
+            hit = component[i] != component[j]
+            if not nearest:
+                hit &= key[i] < key[j]
+            i, j = i[hit], j[hit]
+            hit = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
+            i, j = i[hit], j[hit]
+            apart = np.zeros(len(i), np.int64)
+            for k in range(0, len(i), STEP):
+                x, y = sketch[i[k : k + STEP]], sketch[j[k : k + STEP]]
+                apart[k : k + STEP] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            hit = apart * (1 + least) <= (1 - least) * (n[i].astype(np.int64) + n[j]) + 1e-6
+            i, j, apart = i[hit], j[hit], apart[hit]
+            if nearest:
+                order = np.lexsort((apart, i))
+                i, j = i[order], j[order]
+                hit = np.append(True, i[1:] != i[:-1])[: len(i)]
+                i, j = i[hit], j[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "block", "left", "key", "n", "component")]
+            cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if len(held[0]) >= GATHERED:
+                before = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+                if len(before):
+                    cut = int(before[-1]) + 1
+                    yield from compare(*(c[:cut] for c in held))
+                    held = [c[cut:] for c in held]
+                if len(held[0]) >= GATHERED:  # one group: its homes stay, what came is compared and goes
+                    yield from compare(*held)
+                    held = [c[held[2]] for c in held]
+        if held is not None and len(held[0]):
+            yield from compare(*held)
+
+    return run
+
+
+def shared(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """h, key, n and sketch: shingles at which all pairs of texts (key, text) with a Jaccard similarity of `least` or more
+    meet, with n, how many shingles the text has.
+
+    Prefix filtering, exact. Of two such texts each has at least ceil(least * n) of its n shingles in common with the
+    other. So by any order that all texts share, they have d in common of their first n - ceil(least * n) + d. The first
+    order is by hash; those first ones are dealt out and counted. The second is by how many texts have a shingle, rarest
+    first: of the ones dealt out, all but the last d - 1 are looked at."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.mapInArrow(_packed(width, least, 8 * parts), "bucket int, h binary, keys binary, n binary")
+    met = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(least), "key long, h long, have long, n int, spared long")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("have"), "h"))
+    rare = written(met.withColumn("rank", rank).where("rank > spared").select("h", "key", "n"), "rare")
+    rare = rare.join(rare.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select("h"), "h", "left_semi")
+    rare = written(rare, "rare")
+    sketches = texts.join(rare.select("key").distinct(), "key", "left_semi").mapInArrow(_sketched(width), "key long, sketch binary")
+    return written(rare.join(sketches, "key").select("h", "key", "n", "sketch"), "shared")
+
+
+def couples(rare: DataFrame, nodes: DataFrame, least: float, nearest: bool = False) -> DataFrame:
+    """a, b: pairs of keys of `shared` that meet at a shingle, may be similar, and are of different components in nodes
+    (key, component; a key that is missing is its own); all, or those with the nearest of each."""
+    parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = rare.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    counts = rare.groupBy("h").agg(F.count("*").alias("n_h"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    blocks = counts.select("h", F.ceil(F.col("n_h") / HOT).cast("int").alias("blocks"))
+    each = rare.join(blocks, "h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("h", "block", (F.pmod(F.xxhash64("key"), F.col("blocks")) == F.col("block")).alias("left"), "key", "n", "component", "sketch")
+    by = each.repartition(parts, "h", "block").sortWithinPartitions("h", "block", F.desc("left"))
+    return by.mapInArrow(_couples(least, nearest), "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 7) -> DataFrame:
     """docs without near copies: of each group that similar texts connect, the row with the smallest doc_id stays.
 
-    Fingerprints of the texts' different words tell which pairs to look at: those within `most` bits, along a spanning
-    forest with the closest first, and texts of one fingerprint with one of them. A pair is linked if its sets of
-    `width`-word shingles have that similarity or more. A null doc_id stays only where there is no other. Of rows with
-    equal doc_id and text, one stays.
+    A pair is linked if its sets of `width`-word shingles have that similarity or more. Fingerprints of the texts'
+    different words tell which pairs to look at first: those within `most` bits, along a spanning forest with the closest
+    first, and texts of one fingerprint with one of them. That links most copies. Then all pairs that are not connected yet
+    and share enough shingles to be similar are looked at, whatever their fingerprints (`shared`), so no link that
+    connects is missed; of each text the likeliest first, for what that connects needs no other link. A null doc_id stays only where there is no other. Of rows with equal doc_id and text, one stays.
     """
+
+    def nodes(found: DataFrame) -> DataFrame:
+        return components(found).select(F.col("node").alias("key"), "component")
+
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     slim = docs.select("doc_id", "text", key.alias("key"))
     prints = written(fingerprints(slim, 1, distinct=True, columns=("doc_id", "key")), "fingerprints")
@@ -327,11 +516,14 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int
     within = prints.select("key", "fp").distinct().join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     near = links(prints, most)
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    texts = slim.groupBy("key").agg(F.first("text").alias("text"))
+    texts = written(slim.groupBy("key").agg(F.first("text").alias("text")), "texts")
     linked = written(similar(within.unionByName(across), texts, width, similarity), "similar")
-    nodes = components(linked).select(F.col("node").alias("key"), "component")
+    rare = shared(texts, width, similarity)
+    for nearest in (True, False):
+        others = written(couples(rare, nodes(linked), similarity, nearest), "couples")
+        linked = linked.unionByName(written(similar(others, texts, width, similarity), "similar"))
     least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("doc"))
-    labelled = least.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    labelled = least.join(nodes(linked), "key", "left").withColumn("component", F.coalesce("component", "key"))
     kept = labelled.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("one")).select(F.col("one.doc.doc_id").alias("_doc"), F.col("one.key").alias("_key"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), key.alias("_key"))
     match = (rows["_key"] == kept["_key"]) & rows["_doc"].eqNullSafe(kept["_doc"])

@@ -141,3 +141,25 @@ def test_keep_one_of_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 7, 8, 9, 10, 11, 13]
     assert simhash.keep_one(none).count() == 0
+
+
+def kept(spark, texts):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def invented(rng, n):
+    return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)]
+
+
+def test_keep_one_links_variants_through_their_base(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(3):
+        base = invented(rng, 120)
+        texts.append(" ".join(base))
+        for k in range(30):  # 8 of 116 shingles go: 108 of 124 are in common with the base, 100 of 132 with another variant
+            at = 5 + int(rng.integers(0, 100))
+            texts.append(" ".join([*base[:at], *base[at + 4 :], *invented(rng, 4)] if k % 2 else [*base[:at], *invented(rng, 4), *base[at + 4 :]]))
+    assert kept(spark, texts) == [0, 31, 62]
+    monkeypatch.setattr(simhash, "HOT", 3)
+    assert kept(spark, texts) == [0, 31, 62]
