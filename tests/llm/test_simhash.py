@@ -163,3 +163,13 @@ def test_keep_one_links_variants_through_their_base(spark, monkeypatch):
     assert kept(spark, texts) == [0, 31, 62]
     monkeypatch.setattr(simhash, "HOT", 3)
     assert kept(spark, texts) == [0, 31, 62]
+
+
+def test_keep_one_compares_all_texts_of_a_fingerprint(spark):
+    rng = np.random.default_rng(6)
+    words, texts = invented(rng, 100), []
+    for _ in range(5):  # other orders of the same words: one fingerprint, no shingle in common
+        order = [words[k] for k in rng.permutation(100)]
+        texts += [" ".join(order), " ".join([*order[:50], order[51], order[50], *order[52:]])]
+    assert len({simhash.fingerprint(t, 1, distinct=True) for t in texts}) == 1
+    assert kept(spark, texts) == [0, 2, 4, 6, 8]
