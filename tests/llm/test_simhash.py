@@ -173,3 +173,15 @@ def test_keep_one_compares_all_texts_of_a_fingerprint(spark):
         texts += [" ".join(order), " ".join([*order[:50], order[51], order[50], *order[52:]])]
     assert len({simhash.fingerprint(t, 1, distinct=True) for t in texts}) == 1
     assert kept(spark, texts) == [0, 2, 4, 6, 8]
+
+
+def test_keep_one_finds_copies_beyond_seven_bits(spark):
+    rng = np.random.default_rng(7)
+    texts = []
+    while len(texts) < 20:
+        own = invented(rng, 60)
+        two = [" ".join(own), " ".join([*own, *invented(rng, 12)])]  # 56 of 68 shingles
+        a, b = (simhash.fingerprint(t, 1, distinct=True) for t in two)
+        if (a ^ b).bit_count() > 7:
+            texts += two
+    assert kept(spark, texts) == list(range(0, 20, 2))
