@@ -2,8 +2,8 @@
 
 A text's subwords are its byte 3-grams and 4-grams with A-Z lower-cased, hashed to BUCKETS embeddings of SIZE
 numbers. Their average goes through a linear layer to a softmax over the languages. Embeddings and layer are trained
-by stochastic gradient descent in numpy on a bounded, documented sample of rows, PER_LANGUAGE of each language in
-expectation, chosen by a hash of doc_id. Since averaging is linear, scoring needs only the product of embeddings and
+by stochastic gradient descent in numpy on a bounded, documented sample of rows, PER_LANGUAGE of each of at most
+MOST_LANGUAGES languages in expectation, chosen by a hash of text and language; equal rows count once. Since averaging is linear, scoring needs only the product of embeddings and
 layer: one row of a small table for each subword of the whole text.
 
 Calibration: on a fifth of the sample that training does not see, a temperature is fitted to the log-likelihood, and
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hash_bound, slices, tidy
 
 BUCKETS, SIZE = 1 << 14, 16
-#: Rows of each language to fit on, in expectation; bytes of a step that is never exceeded by more than a text.
-PER_LANGUAGE = 600
+#: Rows of each language to fit on, in expectation, and most languages, those with most rows.
+PER_LANGUAGE, MOST_LANGUAGES = 600, 500
 #: Share of right answers among the accepted ones.
 ACCEPT = 0.99
 EPOCHS, RATE = 4, 0.5
@@ -98,30 +98,34 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, n = np.unique(np.concatenate([b[f[k] : e[k]] for b, f, e in grams]), return_counts=True)
                 ids.append(own)
                 values.append((n / max(1, n.sum())).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("lang")[i:j], batch.column("part")[i:j].cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["lang", "part", "ids", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("key")[i:j], batch.column("lang")[i:j], batch.column("part")[i:j].cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["key", "lang", "part", "ids", "values"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from about `per_language` rows (doc_id, text, lang) of each language; None if there are none.
 
-    The languages, of which there are few, are counted first; the sample is then a filter on a hash of doc_id.
+    The languages are counted first; the sample is then a filter on a hash.
     """
-    usable = docs.where("doc_id is not null and lang is not null and text is not null")
-    counts = sorted((r["lang"], r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect())
-    if not counts:
-        return None
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(5)))
-    got = chosen.select("text", "lang", "part").mapInArrow(_vectors, "lang string, part int, ids array<int>, values array<float>").toArrow()
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").select("text", "lang", F.xxhash64("text", "lang").alias("key"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    taken = F.lit(False)
+    for r in counts:
+        bound = hash_bound(per_language, r["n"])
+        taken = F.when(F.col("lang") == r["lang"], F.lit(True) if bound is None else F.col("key") < bound).otherwise(taken)
+    # rows that are equal are one, however many they are
+    chosen = usable.where(taken).groupBy("key", "lang").agg(F.first("text").alias("text")).withColumn("part", F.pmod(F.hash("key"), F.lit(5)))
+    got = chosen.mapInArrow(tidy(_vectors), "key long, lang string, part int, ids array<int>, values array<float>").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     languages = sorted(set(got.column("lang").to_pylist()))
     if not languages:
         return None
-    y = np.array([languages.index(x) for x in got.column("lang").to_pylist()])
+    place = {lang: k for k, lang in enumerate(languages)}
+    y = np.array([place[x] for x in got.column("lang").to_pylist()])
     train = got.column("part").to_numpy() != 0
     train = train if train.any() else ~train
-    rows = [(np.array(a, np.int64), np.array(b, np.float32)) for a, b in zip(got.column("ids").to_pylist(), got.column("values").to_pylist(), strict=True)]
+    lists = [got.column(c).combine_chunks() for c in ("ids", "values")]
+    stops = lists[0].offsets.to_numpy()
+    ids, values = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+    rows = [(ids[a:b].astype(np.int64), values[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
     embed, layer, bias = _descend([r for r, t in zip(rows, train, strict=True) if t], y[train], len(languages))
     model = Model(languages, (embed @ layer).astype(np.float32), bias)
     rest = np.flatnonzero(~train)
@@ -187,4 +191,4 @@ def predict(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ("d
     """The named columns of docs, which has `text`, with lang_pred, score (its probability) and accepted."""
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     needed = docs.select(*dict.fromkeys([*columns, "text"]))
-    return needed.mapInArrow(_predicted(model, list(columns)), f"{kept}, lang_pred string, score double, accepted boolean")
+    return needed.mapInArrow(tidy(_predicted(model, list(columns))), f"{kept}, lang_pred string, score double, accepted boolean")

@@ -10,7 +10,7 @@ doc_id, whole texts. Each row of the sample comes to the driver as a sparse vect
 Scoring is over all documents, whole texts, in Arrow batches.
 
 Nulls: a null text has no words and fails the base rules; labels with null quality or doc_id are not used; of
-several labels of a doc_id the lowest counts. With no labels, or of one kind only, the model keeps what the base
+several labels of a doc_id the lowest counts, and of several texts of one the model learns from one. With no labels, or of one kind only, the model keeps what the base
 rules keep (probability 1). Empty texts fail the base rules. Very long texts are counted whole. Repeated rows give a
 row each. Empty table: no rows. Other columns are ignored.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Windows, mix, per_text, slices, words
+from .common import SPACE, Windows, hash_bound, mix, per_text, slices, tidy, words
 
 #: Weights for each kind of n-gram.
 BUCKETS = 1 << 14
@@ -187,10 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     None if there are not both kinds of label.
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    share = min(1.0, rows / max(1, one.count()))
-    chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(4)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `rows` rows
-    got = texts.select("text", "quality", "part").mapInArrow(_vectors, "quality int, part int, ids array<int>, values array<float>").toArrow()
+    bound = hash_bound(rows, one.count())
+    chosen = (one if bound is None else one.where(F.xxhash64("doc_id") < bound)).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(4)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `rows` ids
+    texts = texts.groupBy("doc_id", "quality", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id may have very many rows
+    got = texts.select("text", "quality", "part").mapInArrow(tidy(_vectors), "quality int, part int, ids array<int>, values array<float>").toArrow()
     if got.num_rows == 0:
         return None
     y, part = got.column("quality").to_numpy(), got.column("part").to_numpy()
@@ -235,4 +236,22 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP, columns: tup
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     counts = ", ".join(f"{f} long" for f in _FIELDS)
     needed = docs.select(*dict.fromkeys([*columns, "text"]))
-    return needed.mapInArrow(_scored(model, keep, list(columns)), f"{kept}, {counts}, base_failed boolean, p_good double, kept boolean")
+    return needed.mapInArrow(tidy(_scored(model, keep, list(columns))), f"{kept}, {counts}, base_failed boolean, p_good double, kept boolean")
+
+
+def base_rules(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts and base_failed, without a model."""
+    return score(docs, None).select("doc_id", *_FIELDS, "base_failed")
+
+
+#: The base rules in DuckDB's SQL, for tables without repeated doc_ids.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+t AS (SELECT doc_id, unnest(range(1, n_words - 1)) AS i, array_to_string(w[i:i + 2], ' ') AS three FROM n),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS found FROM t),
+p AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM r WHERE found > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM n LEFT JOIN p USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
