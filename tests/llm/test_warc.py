@@ -71,3 +71,33 @@ def test_archives_are_bounded(spark, tmp_path):
     done = warc.write(pages, f"file://{tmp_path}/w", archive_bytes=100_000).collect()
     assert len(done) >= 5 and sum(r.records for r in done) == pages.count()
     assert warc.read(spark, f"file://{tmp_path}/w").count() == pages.count()
+
+
+def test_record_ids_are_unique(spark, tmp_path, monkeypatch):
+    a, b = "x" * 200, "y" * 200
+    rows = [(1, "u", a), (1, "u", b), (1, "v", a), (None, "u", a), (None, "u", b), (None, "u", "short"), *[(2, "w", a)] * 30, *[(None, "w", b)] * 30]
+    for run in (4096, 7):
+        monkeypatch.setattr(warc, "RUN", run)
+        warc.write(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/{run}", archive_bytes=2000, date="2026-01-02T03:04:05Z").collect()
+        records = [r.decode() for f in (tmp_path / str(run)).glob("*.zst") for r in warc.unpack(f.read_bytes())]
+        info = [r for r in records if "WARC-Type: warcinfo" in r]
+        assert len(info) == len(list((tmp_path / str(run)).glob("*.zst"))) > 2
+        field = lambda r, n: next((x.partition(": ")[2] for x in r.split("\r\n") if x.startswith(n + ": ")), None)
+        ids = [field(r, "WARC-Record-ID") for r in records]
+        assert len(set(ids)) == len(ids) == len(rows) + len(info)
+        responses = {field(r, "WARC-Payload-Digest"): field(r, "WARC-Record-ID") for r in records if field(r, "WARC-Type") == "response"}
+        named = [(field(r, "WARC-Payload-Digest"), field(r, "WARC-Refers-To")) for r in records if field(r, "WARC-Type") == "revisit"]
+        assert len(named) == len(rows) - 3 and all(responses[d] == to for d, to in named)
+        assert {field(r, "WARC-Date") for r in records} == {"2026-01-02T03:04:05Z"}
+        assert got(warc.read(spark, f"file://{tmp_path}/{run}")) == brute(rows)
+
+
+def test_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(5, "u", "é" * 50), (3, None, "é" * 50), (3, "v", "é" * 50), (1, "u", "b" * 99), (2, "u", "b" * 99), (4, None, None), (6, "u", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    assert sorted(con.execute(warc.SQL).fetchall(), key=str) == got(warc.archive_and_read(df))
