@@ -4,7 +4,8 @@ Rows lie in old shards; new shards have capacities, in bytes. A minimum-cost flo
 which staying costs nothing and moving costs a unit for each byte, tells how many bytes go from where to where with the
 fewest bytes moved. The flow is then cut out of the old shards: an old shard is a sequence of blocks (hash buckets of
 rows) and of rows in a block, and each of its flows takes the next piece of that sequence. Sizes of blocks are summed
-where they lie; only these sums, of a bounded number of blocks, reach the driver.
+where they lie; only these sums, of a bounded number of blocks, reach the driver. There are so many blocks that one has
+about BLOCK_BYTES. A row's block is told by a hash of all its columns, so rows of one doc_id, or without one, are in many.
 
 Cuts fall between rows. A row belongs to the piece in which its middle lies, so a cut is off by half a row at most, and a
 new shard's size differs from its capacity by half its largest row for each cut, of which there are few. What is still
@@ -14,9 +15,9 @@ fixed number of rows of each shard around what has to move.
 Files of shards whose rows stay the same are kept; the others are rewritten.
 
 Nulls: a null text has no bytes, and a row's size is its UTF-8 bytes plus 8; a null old shard counts as shard 0, a null
-doc_id is hashed like any value. Empty texts have size 8. A very long text is one row and can't be divided: its shard may
-exceed its capacity by it. Repeated rows and ties: rows equal in doc_id and text are interchangeable. Empty table: no
-rows. Other columns are kept, but for those named like a column of the result, which it replaces.
+doc_id is hashed like any other. Empty texts have size 8. A very long text is one row and can't be divided: its shard may
+exceed its capacity by it. Repeated rows and ties: rows that are wholly equal are interchangeable and in one block. Empty
+table: no rows. Other columns are kept, but for those named like a column of the result, which it replaces.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import discard, shared_dir, written
 
-#: Blocks of an old shard: sums that reach the driver are at most old shards times BLOCKS.
-BLOCKS = 1024
+#: Bytes of a block, about, and most blocks in all: so many sums reach the driver. Beyond it blocks grow.
+BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 1 << 20
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 8
 
@@ -38,6 +41,14 @@ def row_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def _before(table: pa.Table, group: str, n: str) -> pa.Array:
+    """For each row of a table sorted by group, what n adds up to in the rows of its group before it."""
+    at, counts = table.column(group).to_numpy(), table.column(n).to_numpy()
+    sums = np.cumsum(counts) - counts
+    new = np.append(True, at[1:] != at[:-1])[: len(at)]
+    return pa.array(sums - np.maximum.accumulate(np.where(new, sums, 0)) if len(at) else sums, pa.int64())
+
+
 def near_equal(total: int, shards: int) -> list[int]:
     """Capacities that differ by one byte at most."""
     return [total // shards + (k < total % shards) for k in range(shards)]
@@ -128,52 +139,43 @@ def _repair(sizes: dict[int, int], capacity: dict[int, int], rows: dict[int, lis
 
 
 _ADDED = ("old_shard", "size", "shard", "slot")
-_PLACE = ("_old", "_block", "_hash", "doc_id", "_text", "_size")
-
-
-def _keyed(rows: DataFrame, old: Column) -> DataFrame:
-    """rows with what places them: old shard, block, hashes of doc_id and text, and size."""
-    own = [c for c in rows.columns if c not in _ADDED]
-    keyed = rows.select(
-        *own,
-        F.coalesce(old, F.lit(0)).cast("int").alias("_old"),
-        row_size(F.col("text")).alias("_size"),
-        F.xxhash64("doc_id").alias("_hash"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"),
-    )
-    return keyed.withColumn("_block", F.pmod("_hash", F.lit(BLOCKS)).cast("int"))
+_ORDER = ("hash", "other")
 
 
 class Resharding:
     """Where each row goes. Sizes are read once, into a narrow table; all that is summed is summed over that."""
 
     def __init__(self, rows: DataFrame, old: Column, capacities: dict[int, int] | int):
-        self.rows, self.old = rows, old
         self.spark = rows.sparkSession
-        narrow = written(_keyed(rows, old).select(*_PLACE), "sizes")
-        sums = narrow.groupBy("_old", "_block").agg(F.sum("_size").alias("n")).collect()  # bounded: shards times BLOCKS
-        supply: dict[int, int] = defaultdict(int)
-        for r in sums:
-            supply[r["_old"]] += r["n"]
-        self.capacities = dict(enumerate(near_equal(sum(supply.values()), capacities))) if isinstance(capacities, int) else capacities
-        self.flow = min_cost_flow(dict(supply), self.capacities)
-        self.starts, at = [], defaultdict(int)
-        for r in sorted(sums, key=lambda r: (r["_old"], r["_block"])):
-            self.starts.append((r["_old"], r["_block"], at[r["_old"]]))
-            at[r["_old"]] += r["n"]
+        self.names = {f"c{k}": c for k, c in enumerate(c for c in rows.columns if c not in _ADDED)}  # none clashes with those made here
+        own = {n: F.col("`" + c.replace("`", "``") + "`") for n, c in self.names.items()}
+        hashed = [own[n] for n, c in self.names.items() if "map<" not in rows.schema[c].dataType.simpleString()]
+        place = [F.coalesce(old, F.lit(0)).cast("int").alias("old"), row_size(F.col("text")).alias("size"), F.xxhash64(*hashed).alias("hash"), F.xxhash64(F.lit(1), *hashed).alias("other")]
+        self.keyed = rows.select(*(c.alias(n) for n, c in own.items()), *place)
+        narrow = written(rows.select(*place), "sizes")
+        totals = {r["old"]: r["n"] for r in narrow.groupBy("old").agg(F.sum("size").alias("n")).collect()}
+        self.blocks = max(1, min(-(-max(totals.values(), default=0) // BLOCK_BYTES), MOST_BLOCKS // max(1, len(totals))))
+        self.capacities = dict(enumerate(near_equal(sum(totals.values()), capacities))) if isinstance(capacities, int) else capacities
+        self.flow = min_cost_flow(totals, self.capacities)
+        narrow = self._blocked(narrow)
+        sums = narrow.groupBy("old", "block").agg(F.sum("size").alias("n")).toArrow().sort_by([("old", "ascending"), ("block", "ascending")])
+        self.starts = sums.select(["old", "block"]).append_column("start", _before(sums, "old", "n"))
         self.moves: list[tuple] = []
         self.moves = self._repair(self._placed(narrow))
-        counted = self._placed(narrow).groupBy("shard", "_old", "_block").agg(F.count("*").alias("rows")).collect()  # blocks, cuts and moves
-        self.firsts, at = [], defaultdict(int)
-        for r in sorted(counted, key=lambda r: (r["shard"], r["_old"], r["_block"])):
-            self.firsts.append((r["shard"], r["_old"], r["_block"], at[r["shard"]]))
-            at[r["shard"]] += r["rows"]
-        #: Shards that get or lose rows.
-        self.changed = sorted({k for shard, old_shard, _, _ in self.firsts if shard != old_shard for k in (shard, old_shard)})
-
-    def _placed(self, keyed: DataFrame) -> DataFrame:
-        """keyed rows with shard, and their place in their block."""
-        start_of = self.spark.createDataFrame(self.starts, "_old int, _block int, _from long")
+        counted = self._placed(narrow).groupBy("shard", "old", "block").agg(F.count("*").alias("n")).toArrow()  # blocks, cuts and moves
+        counted = counted.sort_by([(c, "ascending") for c in ("shard", "old", "block")])
+        self.firsts = counted.select(["shard", "old", "block"]).append_column("first", _before(counted, "shard", "n"))
+        pairs = {(r["shard"], r["old"]) for r in counted.group_by(["shard", "old"]).aggregate([]).to_pylist()}
+        #: New shards with rows, and shards that get or lose rows.
+        self.shards, self.changed = sorted({shard for shard, _ in pairs}), sorted({k for pair in pairs if pair[0] != pair[1] for k in pair})
+        discard(self.spark, narrow)
+
+    def _blocked(self, keyed: DataFrame) -> DataFrame:
+        return keyed.withColumn("block", F.pmod("hash", F.lit(self.blocks)).cast("int"))
+
+    def _placed(self, blocked: DataFrame) -> DataFrame:
+        """Rows with shard, and their place in their block (nth)."""
+        start_of = self.spark.createDataFrame(self.starts) if len(self.starts) else self.spark.createDataFrame([], "old int, block int, start long")
         by_old: dict[int, list] = defaultdict(list)
         for i, j, _, stop in _pieces(self.flow):
             by_old[i].append((stop, j))
@@ -181,24 +183,24 @@ class Resharding:
         for i, cuts in by_old.items():
             inside = F.lit(cuts[-1][1])
             for stop, j in reversed(cuts[:-1]):
-                inside = F.when(F.col("_middle") < 2 * stop, F.lit(j)).otherwise(inside)
-            shard = F.when(F.col("_old") == i, inside).otherwise(shard)
-        running = Window.partitionBy("_old", "_block").orderBy("_hash", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = keyed.join(F.broadcast(start_of), ["_old", "_block"])  # bounded: shards times BLOCKS
-        placed = placed.withColumn("_middle", 2 * (F.col("_from") + F.sum("_size").over(running)) - F.col("_size")).withColumn("_nth", F.row_number().over(running))
-        placed = placed.withColumn("shard", shard).drop("_from", "_middle")
+                inside = F.when(F.col("middle") < 2 * stop, F.lit(j)).otherwise(inside)
+            shard = F.when(F.col("old") == i, inside).otherwise(shard)
+        running = Window.partitionBy("old", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = blocked.join(F.broadcast(start_of), ["old", "block"])  # bounded by MOST_BLOCKS
+        placed = placed.withColumn("middle", 2 * (F.col("start") + F.sum("size").over(running)) - F.col("size")).withColumn("nth", F.row_number().over(running))
+        placed = placed.withColumn("shard", shard).drop("start", "middle")
         if not self.moves:
             return placed
-        moved = self.spark.createDataFrame(self.moves, "_old int, _block int, _nth int, _to int")
-        return placed.join(F.broadcast(moved), ["_old", "_block", "_nth"], "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to")
+        moved = self.spark.createDataFrame(self.moves, "old int, block int, nth int, to int")
+        return placed.join(F.broadcast(moved), ["old", "block", "nth"], "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
 
     def _repair(self, placed: DataFrame) -> list[tuple]:
         """(old shard, block, place in it, new shard) of rows to move, so that sizes come nearer to capacities.
 
         Each shard offers two rows of each power of two of sizes, so that small and large gaps can be closed.
         """
-        row = F.struct(F.xxhash64("_old", "_block", "_nth").alias("h"), "_size", "_old", "_block", "_nth")
-        kinds = placed.groupBy("shard", F.floor(F.log2("_size")).cast("int").alias("kind")).agg(F.sum("_size").alias("n"), F.min(row).alias("one"), F.max(row).alias("two")).collect()
+        row = F.struct(F.xxhash64("old", "block", "nth").alias("h"), "size", "old", "block", "nth")
+        kinds = placed.groupBy("shard", F.floor(F.log2("size")).cast("int").alias("kind")).agg(F.sum("size").alias("n"), F.min(row).alias("one"), F.max(row).alias("two")).collect()
         sizes = dict.fromkeys(self.capacities, 0)
         at_hand: dict[int, list] = defaultdict(list)
         for r in kinds:
@@ -212,13 +214,17 @@ class Resharding:
         return [(*key, to) for key, to in final.items()]
 
     def assigned(self) -> DataFrame:
-        """The rows with old_shard, size, shard and slot (gapless from 0 in each shard)."""
-        own = [c for c in self.rows.columns if c not in _ADDED]
-        first_of = self.spark.createDataFrame(self.firsts, "shard int, _old int, _block int, _first long")
-        within = Window.partitionBy("_old", "_block", "shard").orderBy("_nth")
-        placed = self._placed(_keyed(self.rows, self.old)).join(F.broadcast(first_of), ["shard", "_old", "_block"])  # bounded like counted
-        out = placed.withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
-        return out.select(*own, F.col("_old").alias("old_shard"), F.col("_size").alias("size"), "shard", "slot")
+        """The rows with old_shard, size, shard and slot (gapless from 0 in each shard).
+
+        Blocks that follow each other are dealt to one task, so its rows are of few shards.
+        """
+        first_of = self.spark.createDataFrame(self.firsts) if len(self.firsts) else self.spark.createDataFrame([], "shard int, old int, block int, first long")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        within = Window.partitionBy("old", "block", "shard").orderBy("nth")
+        dealt = self._blocked(self.keyed).repartitionByRange(parts, "old", "block")
+        placed = self._placed(dealt).join(F.broadcast(first_of), ["shard", "old", "block"])  # bounded like counted
+        out = placed.withColumn("slot", F.col("first") + F.row_number().over(within) - 1)
+        return out.select(*(F.col(n).alias(c) for n, c in self.names.items()), F.col("old").alias("old_shard"), "size", "shard", "slot")
 
     def rewrite(self, path: str) -> DataFrame:
         """Writes the shards whose rows changed below path, one directory each, and returns all shards' rows.
@@ -228,8 +234,11 @@ class Resharding:
         every = self.assigned()
         affected = every.where(F.col("shard").isin(self.changed)) if self.changed else every.where("false")
         affected.write.partitionBy("shard").parquet(path)
-        back = self.spark.read.schema(every.schema).option("basePath", path).parquet(path).select(*every.columns)
-        if len(self.changed) == len({shard for shard, *_ in self.firsts}):
+        back = self.spark.read.schema(every.schema).option("basePath", path).parquet(path)
+        back = back.toDF(*(f"c{k}" for k in range(len(back.columns))))
+        place = {c: f"c{k}" for k, c in enumerate([*(c for c in every.columns if c != "shard"), "shard"])}  # a directory's column comes last
+        back = back.select(*(F.col(place[c]).alias(c) for c in every.columns))
+        if len(self.changed) == len(self.shards):
             return back
         return back.unionByName(every.where(~F.col("shard").isin(self.changed)) if self.changed else every)
 

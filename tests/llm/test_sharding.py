@@ -74,6 +74,16 @@ def test_odd_rows(odd, none):
     assert sharding.reshard_documents(none, F.lit(0), 4).count() == 0
 
 
+def test_rows_of_one_doc_id_are_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_BYTES", 1000)
+    rows = [(7 if i % 3 else None, f"text {i}" * (i % 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = sharding.Resharding(df, F.lit(0), 5)
+    assert r.blocks > 20 and max(x["count"] for x in r._blocked(r.keyed).groupBy("block").count().collect()) < 150
+    got, sizes = verify(df, F.lit(0), 5)
+    assert max(sizes) - min(sizes) <= max(x.size for x in got)
+
+
 def test_unaffected_files_stay(spark):
     rows = [(i, "x" * 92, i % 4) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, at int")
