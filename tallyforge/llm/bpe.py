@@ -8,7 +8,8 @@ so that what is shuffled stays well below the text itself:
    its distinct words, which leave as one packed row for each hash bucket of words;
 2. encode: the words are shuffled by bucket, so all copies of a word meet in one task, which merges it once;
 3. join back: the ids leave in the words' order and are shuffled to their block, where the stream waits;
-4. reassemble: word numbers of a text are replaced by ids; decoding looks each id up in the token-byte table.
+4. reassemble: word numbers of a text are replaced by ids;
+5. decode: the different ids of a block are joined to the token-byte table, and the bytes come back to the block.
 
 A hot word costs one entry a block, whatever its count. No group is held: step 2 streams rows and keeps the
 distinct words of its buckets, step 4 keeps one block.
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Bytes of text in a block, unless one text is longer.
 BLOCK_BYTES = 8 << 20
@@ -201,7 +202,29 @@ def _encode(path: str):
     return run
 
 
-def _reassemble(path: str, with_ids: bool):
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of each block, once from each task that has a part of it."""
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            block = batch.column("target")[row].as_py()
+            _, data = _unpack(batch.column("payload")[row].as_py())
+            ids = np.unique(_read_numbers(data, len(data) // 4))
+            new = np.setdiff1d(ids, seen[block], assume_unique=True) if block in seen else ids
+            seen[block] = np.union1d(seen[block], new) if block in seen else ids
+            if len(seen) > 64:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), block, np.int64)), pa.array(new.astype(np.int32))], ["target", "id"])
+
+
+def _with_bytes(ids: DataFrame, path: str) -> DataFrame:
+    """ids (with a column id) joined to the token-byte table, as `bytes`. It has a row for each token of a fixed
+    vocabulary, so it may be broadcast."""
+    tokens = ids.sparkSession.createDataFrame(pa.table({"id": pa.array(token_bytes(path).keys(), pa.int32()), "bytes": pa.array(token_bytes(path).values(), pa.binary())}))
+    return ids.join(F.broadcast(tokens), "id")
+
+
+def _reassemble(with_ids: bool):
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
@@ -220,11 +243,11 @@ def _reassemble(path: str, with_ids: bool):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 500], strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
         for batch in batches:
             for row in range(batch.num_rows):
                 if batch.column("bucket")[row].as_py() >= 0:
                     continue  # words
+                table = {x["id"]: x["bytes"] for x in batch.column("tokens")[row].as_py() or []}
                 steps, raw = _unpack(batch.column("payload")[row].as_py())
                 stream = _read_numbers(raw, len(raw) // 4)
                 order = np.cumsum(steps.view(np.int32)).tolist()
@@ -249,24 +272,23 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     path: a file of base64 tokens and ranks that every executor can open; pattern: what splits text before merging.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, 4 * parts), _PACKED).repartition(parts, "target")
-    ids = packed.mapInArrow(_encode(path), _PACKED).repartition(parts, "target")
+    packed = docs.select("doc_id", "text").mapInArrow(tidy(_explode(pattern, 4 * parts)), _PACKED).repartition(parts, "target")
+    # the filter, which a join on target would put under one branch only, lets Spark reuse this exchange as well
+    ids = packed.mapInArrow(tidy(_encode(path)), _PACKED).where("target is not null").select("target", "bucket", "payload").repartition(parts, "target")
     by_block = ids.groupBy("target").agg(F.collect_list(F.struct("bucket", "payload")).alias("parts"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     # streams are read from the exchange that words came through, which Spark reuses as both branches take all of it
-    blocks = packed.join(by_block.hint("shuffle_hash"), "target", "left")
-    return blocks.mapInArrow(_reassemble(path, with_ids), schema)
+    used = _with_bytes(ids.mapInArrow(tidy(_used), "target long, id int"), path)
+    tokens = used.groupBy("target").agg(F.collect_list(F.struct("id", "bytes")).alias("tokens"))
+    blocks = packed.join(by_block.hint("shuffle_hash"), "target", "left").join(tokens.hint("shuffle_hash"), "target", "left")
+    return blocks.mapInArrow(tidy(_reassemble(with_ids)), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (doc_id, ids) with a column `decoded` (binary): each id is joined to the token-byte table.
-
-    The table has one row for each token of a fixed vocabulary, so it may be broadcast. A null list stays null.
-    """
-    spark = encoded.sparkSession
-    tokens = spark.createDataFrame([(i, bytearray(b)) for i, b in token_bytes(path).items()], "id int, bytes binary")
+    """encoded (doc_id, ids) with a column `decoded` (binary): each id is joined to the token-byte table. A null list stays
+    null."""
     keyed = encoded.withColumn("_row", F.monotonically_increasing_id())
-    flat = keyed.select("_row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(tokens), "id")
+    flat = _with_bytes(keyed.select("_row", F.posexplode("ids").alias("at", "id")), path)
     joined = flat.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("bytes").alias("hex")))).alias("parts"))
     whole = joined.select("_row", F.unhex(F.array_join(F.col("parts.hex"), "")).alias("decoded"))
     empty = F.when(F.col("ids").isNotNull(), F.unhex(F.lit("")))
