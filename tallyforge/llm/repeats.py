@@ -21,7 +21,8 @@ suffix array is built over each bounded set of them, by linear grouping (suffix_
 5. The spans come together by text; each text is cut once. Rows of a text that very many rows have are dealt to all
    partitions.
 
-Hashes of 64 bits stand for a text (its rows are cut alike), a key and the bytes of an anchor.
+A text goes by a 64-bit number that no other text has (`text_key`). Anchors are one class if two hashes agree that have
+nothing to do with each other: one of the key, modulo 2^64, and one of all bytes that their windows cover, modulo two primes.
 
 Nulls: a null text counts as empty. Texts of fewer than LEAST bytes stay. Repeated rows repeat each other, and so go if
 long enough. A very long text is worked through in steps. Ties don't arise: all places of a repeated string go. Empty
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, long, mix, slices
+from .common import PrimeWindows, Windows, long, mix, slices, text_key, tidy
 from .suffix_order import suffix_order
 
 #: Bytes of a repeated string, and positions among which its anchor is chosen.
@@ -48,7 +49,7 @@ GATHERED = 1 << 18
 #: Texts that a task remembers to have seen; beyond it, it forgets them all and goes on.
 REMEMBERED = 1 << 20
 #: Bytes of a long text that are worked on at once.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Rows of one text from which they are dealt to all partitions, and how many such texts there may be.
 HOT, MOST_HOT = 1000, 2000
 #: Surroundings that are ordered together, about, and most of one key.
@@ -83,7 +84,7 @@ def _anchors_of(data: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarra
     anchor = anchor[first]
     hashed = Windows(data)
     text, begin = text[first], at[text[first]]
-    return text, first - begin, windows, anchor - begin, mix(hashed(anchor, anchor + least - WIDE)), mix(hashed(first, first + windows - 1 + least))
+    return text, first - begin, windows, anchor - begin, mix(hashed(anchor, anchor + least - WIDE)), mix(PrimeWindows(data)(first, first + windows - 1 + least))
 
 
 def _anchors(least: int):
@@ -403,12 +404,13 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), leas
         raise ValueError(f"least must be {WIDE + 8} at least")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_{k}" for k in range(len(columns))]
-    texts = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
+    texts = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("doc", text_key(texts))
     hot = _hot_texts(texts)
     salted = F.col("doc").isin(hot) if hot else F.lit(False)
-    anchors = texts.select("doc", "text").mapInArrow(_anchors(least), "key long, whole long, doc long, at long, known boolean")
+    anchors = texts.select("doc", "text").mapInArrow(tidy(_anchors(least)), "key long, whole long, doc long, at long, known boolean")
     sorted_anchors = anchors.repartition(parts, "key").sortWithinPartitions("key", "whole", "doc", "at")
-    marked = sorted_anchors.mapInArrow(_repeated, "doc long, at long, key long, kind int")
+    marked = sorted_anchors.mapInArrow(tidy(_repeated), "doc long, at long, key long, kind int")
     lists = marked.repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("at", "key", "kind")).alias("all"))
     lists = lists.select("doc", F.expr("transform(filter(all, x -> x.kind != 1), x -> x.at)").alias("covered"), F.expr("filter(all, x -> x.kind > 0)").alias("wanted"))
     # rows of a text that very many rows have are dealt to all partitions, and its spans to each of these
@@ -418,12 +420,12 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), leas
     # both joins take all columns of the dealt texts, so that Spark deals them once and reuses the exchange
     salts = F.when(salted, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     edges = dealt.join(lists.where("size(wanted) > 0").select("doc", "wanted", F.explode(salts).alias("salt")), ["doc", "salt"])
-    around = edges.mapInArrow(_surroundings(least), "key long, doc long, at long, kind int, sides binary")
-    spans = around.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_ordered(least), _SPANS)
-    closed = spans.repartition(parts, "first", "second").sortWithinPartitions("first", "second", "open").mapInArrow(_closed, "doc long, start long, stop long")
+    around = edges.mapInArrow(tidy(_surroundings(least)), "key long, doc long, at long, kind int, sides binary")
+    spans = around.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_ordered(least)), _SPANS)
+    closed = spans.repartition(parts, "first", "second").sortWithinPartitions("first", "second", "open").mapInArrow(tidy(_closed), "doc long, start long, stop long")
     more = closed.groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("more"))
     found = lists.select("doc", "covered").join(more, "doc", "left").select("doc", "covered", "more", F.explode(salts).alias("salt"))
     whole = dealt.join(found, ["doc", "salt"], "left")
     fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(columns, names, strict=True))
-    cut = whole.select(*names, "text", "covered", "more").mapInArrow(_cut(least, names, whole_characters), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = whole.select(*names, "text", "covered", "more").mapInArrow(tidy(_cut(least, names, whole_characters)), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
     return cut.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)), "n_bytes", "n_removed", "n_spans", "kept")
