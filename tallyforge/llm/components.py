@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         if new == state or new[0] == 0:
             break
         state = new
-        now = written(_star(now), "links")
+        last, now = now, written(_star(now), "links")
+        discard(links.sparkSession, last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

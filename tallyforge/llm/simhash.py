@@ -27,22 +27,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import plain_names, text_key, tidy, written
 from .components import components
 
 #: Homes of an anchor beyond which it is split, and rows that a task gathers before it compares.
 HOT, GATHERED = 4096, 1 << 16
 #: Hashes summed up at once.
 STEP = 1 << 13
-#: Bytes of shingle sets that are sent at once, unless one is larger.
-SENT_BYTES = 1 << 22
 #: Pairs compared at once.
 BLOCK = 1 << 21
 #: First shingles that are packed at once, and the share of a text's shingles that are looked at besides those that a
 #: similar text may lack. Any share gives the same links; a larger one deals out more and tells common passages apart better.
-PACKED, SEEN = 1 << 20, 0.5
+PACKED, SEEN = 1 << 20, 0.2
 #: Parts that a text's shingles are counted in.
 SKETCH = 128
+#: Keys (8 bytes each) up to which they are broadcast, so that texts aren't shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str, width: int, distinct: bool = False) -> int:
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int, distinct: bool = False, columns: t
     names = [f"_{k}" for k in range(len(columns))]
     kept = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(columns, names, strict=True))
     own = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), "text")
-    out = own.mapInArrow(run, f"{kept}, fp long")
+    out = own.mapInArrow(tidy(run), f"{kept}, fp long")
     return out.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)), "fp")
 
 
@@ -246,14 +246,14 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
         raise ValueError("most must be 0 to 7")
     spark = prints.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = prints.select("fp").distinct().mapInArrow(_replicate(bits), "anchor long, home boolean, fp long")
+    near = prints.select("fp").distinct().mapInArrow(tidy(_replicate(bits)), "anchor long, home boolean, fp long")
     hot = near.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     blocks = hot.select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("blocks"))
     dealt = near.join(blocks, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     each = dealt.select("anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "home", "fp")
     each = each.select("anchor", "block", (F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("blocks")) == F.col("block"))).alias("left"), "fp")
     by = each.repartition(parts, "anchor", "block").sortWithinPartitions("anchor", "block", F.desc("left"))
-    return by.mapInArrow(_linked(most), "a long, b long")
+    return by.mapInArrow(tidy(_linked(most)), "a long, b long")
 
 
 def groups(prints: DataFrame, found: DataFrame) -> DataFrame:
@@ -279,42 +279,44 @@ def _shingles(text: str, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s) for s in parts]), ">u8").astype(np.uint64))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Those pairs (a, b, different) of keys of texts (key, text) whose sets of shingles have a Jaccard similarity of
-    `least` or more. Two texts without words are alike. Each text is read once, for all pairs that it is in."""
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, a written table, to be broadcast if it is small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = _shingles(row["text"] or "", width).tobytes()
-                step = max(1, SENT_BYTES // (len(own) + 16))
-                for a in range(0, len(row["pairs"]), step):
-                    part = row["pairs"][a : a + step]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in part], pa.int64()) for c in ("a", "b")] + [pa.array([own] * len(part), pa.binary())], ["a", "b", "own"])
+
+def similar(pairs: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Those pairs (a, b, different) of keys of rows (key, text; equal keys have equal texts) whose sets of shingles have a
+    Jaccard similarity of `least` or more. Two texts without words are alike. A text is read once for all its pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the first text of a pair, until the second comes
+        held, last = None, (None, None)  # the first text of a pair until the second comes; the first text that was read last
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
-                pair = (row["a"], row["b"])
-                if held is None or held[0] != pair:
-                    held = (pair, row["own"])
-                    continue
-                x, y = np.frombuffer(held[1], np.uint64), np.frombuffer(row["own"], np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= least * (len(x) + len(y) - both):
-                    found.append(pair)
-                held = None
+            for a, b, key, text in zip(*(batch.column(c) for c in ("a", "b", "key", "text")), strict=True):
+                a, b, key = a.as_py(), b.as_py(), key.as_py()
+                if key == a:
+                    last = last if last[0] == a else (a, _shingles(text.as_py() or "", width))
+                    held = (a, b)
+                elif held == (a, b):
+                    x, y = last[1], _shingles(text.as_py() or "", width)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= least * (len(x) + len(y) - both):
+                        found.append((a, b))
+                    held = None
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    if one.isEmpty():
+        return one
     # a key in very many pairs has several rows
-    ends = one.withColumn("end", F.explode(F.array("a", "b"))).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(64)))
-    lists = ends.groupBy("end", "salt").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    met = lists.join(texts, lists["end"] == texts["key"]).select("text", "pairs").mapInArrow(sets, "a long, b long, own binary")
-    return met.repartition(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long")
+    ends = one.withColumn("key", F.explode(F.array("a", "b"))).withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(64)))
+    needed = written(ends.select("key").distinct(), "needed")
+    texts = rows.select("key", "text").join(_small(needed), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    lists = ends.groupBy("key", "salt").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    met = lists.join(texts, "key").select("key", "text", F.explode("pairs").alias("p")).select("p.a", "p.b", "key", "text")
+    by = met.repartition(parts, "a", "b").sortWithinPartitions("a", "b", F.col("key") != F.col("a"))
+    return by.mapInArrow(tidy(compare), "a long, b long")
 
 
 def _fewest(n: np.ndarray, least: float) -> np.ndarray:
@@ -328,66 +330,94 @@ def _depth(n: np.ndarray, least: float) -> np.ndarray:
 
 
 def _packed(width: int, least: float, buckets: int):
-    """The first shingles of each text, by hash: rows of a bucket of hashes, with hashes, keys and sizes end to end."""
-
-    def pack(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        length = [len(x) for x, _, _ in held]
-        h = np.concatenate([x for x, _, _ in held])
-        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
+    """The first shingles of each text, by hash: rows of a bucket of hashes. A row has 48 bits of each hash, whether it is
+    of another text than the one before, and the texts' keys, sizes and components."""
+
+    def pack(held: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+        h = np.concatenate([x[0] for x in held])
+        text = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        key, n, component = (np.array([x[k] for x in held], t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64)))
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        h, bucket = h[order], bucket[order]
-        key, n = (np.repeat(np.array([x[k] for x in held], t), length)[order] for k, t in ((1, np.int64), (2, np.int32)))
-        cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + np.uint64(1)))
-        ends = np.append(cuts[1:], len(h))
-        parts = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (h, key, n)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *parts], ["bucket", "h", "keys", "n"])
+        h, text, bucket = h[order] >> np.uint64(16), text[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        new = np.ones(len(h), bool)
+        new[1:] = (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])
+        rows = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(h)), strict=True):
+            own = text[a:b][new[a:b]]
+            parts = (h[a:b].astype("<u4"), (h[a:b] >> np.uint64(32)).astype("<u2"), np.packbits(new[a:b]), key[own], n[own], np.where(component[own] == key[own], 0, component[own]))
+            rows.append((int(bucket[a]), *(x.tobytes() for x in parts)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], _PACKED_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        seen: set[int] = set()
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            for key, component, text in zip(batch.column("key").to_pylist(), batch.column("component").to_pylist(), batch.column("text"), strict=True):
+                if key in seen:  # a task passes on one of equal texts
+                    continue
+                seen.add(key)
                 own = _shingles(text.as_py() or "", width)
                 own = own if len(own) else np.zeros(1, np.uint64)  # texts without words are alike
                 n = np.array(len(own))
                 own = own[: int(n - _fewest(n, least) + _depth(n, least))]
-                held.append((own, key, int(n)))
+                held.append((own, key, int(n), component))
                 size += len(own)
                 if size >= PACKED:
                     yield pack(held)
                     held, size = [], 0
+            if len(seen) > PACKED:
+                seen.clear()
         if held:
             yield pack(held)
 
     return run
 
 
-def _repeated(least: float):
-    """Of rows by bucket, the shingles that several texts have: key, h, how many have it, size of the text, and how many
-    of the text's most frequent ones need not be looked at."""
-
-    def find(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        h, key, n = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.int64, np.int32)))
-        order = np.argsort(h)
-        h = h[order]
+_PACKED_NAMES = ["bucket", "low", "high", "new", "keys", "sizes", "components"]
+
+
+def _mixed(least: float):
+    """Of rows by bucket, the shingles that texts of several components have: key, h, how many have it, size of the text,
+    and how many of the text's most frequent ones need not be looked at."""
+
+    def find(bucket: int, rows: list[list[bytes]]) -> pa.RecordBatch:
+        read = [[np.frombuffer(x, t) for x, t in zip(r, ("<u4", "<u2", np.uint8, np.int64, np.int32, np.int64), strict=True)] for r in rows]
+        h = np.concatenate([r[0].astype(np.uint64) | r[1].astype(np.uint64) << np.uint64(32) for r in read])
+        at, text = 0, []
+        for r in read:
+            text.append(at - 1 + np.cumsum(np.unpackbits(r[2], count=len(r[0])), dtype=np.int64))
+            at += len(r[3])
+        text = np.concatenate(text)
+        keys, sizes, components = (np.concatenate([r[k] for r in read]) for k in (3, 4, 5))
+        components = np.where(components == 0, keys, components)
+        order = np.lexsort((keys[text], h))
+        h, text = h[order], text[order]
+        key = keys[text]
+        one = np.ones(len(h), bool)  # a text that several tasks passed on is one
+        one[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+        h, text, key = h[one], text[one], key[one]
         cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         have = np.diff(np.append(cuts, len(h)))
-        have = np.repeat(have, have)
-        many = have > 1
-        key, n = key[order[many]], n[order[many]]
+        component = components[text]
+        many = np.repeat(np.minimum.reduceat(component, cuts) != np.maximum.reduceat(component, cuts), have)
+        n = sizes[text][many]
         spared = _depth(_fewest(n, least), least) - 1
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[many].view(np.int64)), pa.array(have[many]), pa.array(n), pa.array(spared)], ["key", "h", "have", "n", "spared"])
+        name = (h[many] << np.uint64(15) | np.uint64(bucket & 0x7FFF)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(name), pa.array(np.repeat(have, have)[many]), pa.array(n), pa.array(spared)], ["key", "h", "have", "n", "spared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last = [], None
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "keys", "n")), strict=True):
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in _PACKED_NAMES), strict=True):
                 if rows and bucket != last:
-                    yield find(rows)
+                    yield find(last, rows)
                     rows = []
                 last = bucket
                 rows.append(row)
         if rows:
-            yield find(rows)
+            yield find(last, rows)
 
     return run
 
@@ -409,9 +439,10 @@ def _sketched(width: int):
 
 def _couples(least: float, nearest: bool):
     """Rows sorted by h, block and left (homes of the block first): pairs of a home and another of its h that are of
-    different components and may be similar by size and sketch; all of them, or for each home the one with the nearest."""
+    different components and whose sizes allow that they are similar. For each home the one whose fingerprint is nearest, or
+    all of them whose sketches allow it as well."""
 
-    def compare(h: np.ndarray, block: np.ndarray, left: np.ndarray, key: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compare(h: np.ndarray, block: np.ndarray, left: np.ndarray, key: np.ndarray, n: np.ndarray, component: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])))
         size = np.diff(np.append(cuts, len(h)))
         first, wide = np.repeat(cuts, size), np.repeat(size, size)
@@ -430,24 +461,26 @@ def _couples(least: float, nearest: bool):
             i, j = i[hit], j[hit]
             hit = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9
             i, j = i[hit], j[hit]
-            apart = np.zeros(len(i), np.int64)
-            for k in range(0, len(i), STEP):
-                x, y = sketch[i[k : k + STEP]], sketch[j[k : k + STEP]]
-                apart[k : k + STEP] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-            hit = apart * (1 + least) <= (1 - least) * (n[i].astype(np.int64) + n[j]) + 1e-6
-            i, j, apart = i[hit], j[hit], apart[hit]
             if nearest:
-                order = np.lexsort((apart, i))
+                order = np.lexsort((np.bitwise_count(about[i] ^ about[j]), i))
                 i, j = i[order], j[order]
                 hit = np.append(True, i[1:] != i[:-1])[: len(i)]
-                i, j = i[hit], j[hit]
+            else:
+                hit = np.zeros(len(i), bool)
+                for k in range(0, len(i), STEP):
+                    p, q = i[k : k + STEP], j[k : k + STEP]
+                    x, y = about[p], about[q]
+                    apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+                    hit[k : k + STEP] = apart * (1 + least) <= (1 - least) * (n[p].astype(np.int64) + n[q]) + 1e-6
+            i, j = i[hit], j[hit]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "block", "left", "key", "n", "component")]
-            cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+            about = batch.column("about")
+            cols.append(about.to_numpy().view(np.uint64) if nearest else np.frombuffer(b"".join(about.to_pylist()), np.uint8).reshape(-1, SKETCH))
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if len(held[0]) >= GATHERED:
                 before = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
@@ -464,36 +497,43 @@ def _couples(least: float, nearest: bool):
     return run
 
 
-def shared(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """h, key, n and sketch: shingles at which all pairs of texts (key, text) with a Jaccard similarity of `least` or more
-    meet, with n, how many shingles the text has.
+def shared(rows: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """h, key and n: shingles at which all pairs of rows (key, text; equal keys have equal texts) with a Jaccard similarity
+    of `least` or more meet that are of different components in nodes (key, component; a key that is missing is its own), with
+    n, how many shingles the text has.
 
     Prefix filtering, exact. Of two such texts each has at least ceil(least * n) of its n shingles in common with the
     other. So by any order that all texts share, they have d in common of their first n - ceil(least * n) + d. The first
-    order is by hash; those first ones are dealt out and counted. The second is by how many texts have a shingle, rarest
-    first: of the ones dealt out, all but the last d - 1 are looked at."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.mapInArrow(_packed(width, least, 8 * parts), "bucket int, h binary, keys binary, n binary")
-    met = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(least), "key long, h long, have long, n int, spared long")
+    order is by hash; those first ones are dealt out, and what is of one component only is left out. The second is by how
+    many texts have a shingle, rarest first: all but the last d - 1 are looked at."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.select("key", "text").join(_small(nodes), "key", "left").select("key", F.coalesce("component", "key").alias("component"), "text")
+    packed = known.mapInArrow(tidy(_packed(width, least, 2 * parts)), "bucket int, low binary, high binary, new binary, keys binary, sizes binary, components binary")
+    met = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_mixed(least)), "key long, h long, have long, n int, spared long")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("have"), "h"))
-    rare = written(met.withColumn("rank", rank).where("rank > spared").select("h", "key", "n"), "rare")
-    rare = rare.join(rare.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").select("h"), "h", "left_semi")
-    rare = written(rare, "rare")
-    sketches = texts.join(rare.select("key").distinct(), "key", "left_semi").mapInArrow(_sketched(width), "key long, sketch binary")
-    return written(rare.join(sketches, "key").select("h", "key", "n", "sketch"), "shared")
+    return written(met.withColumn("rank", rank).where("rank > spared").select("h", "key", "n"), "rare")
+
 
+def couples(rare: DataFrame, nodes: DataFrame, least: float, prints: DataFrame | None = None, rows: DataFrame | None = None, width: int = 0) -> DataFrame:
+    """a, b: pairs of keys of `shared` that meet at a shingle, may be similar, and are of different components in nodes.
 
-def couples(rare: DataFrame, nodes: DataFrame, least: float, nearest: bool = False) -> DataFrame:
-    """a, b: pairs of keys of `shared` that meet at a shingle, may be similar, and are of different components in nodes
-    (key, component; a key that is missing is its own); all, or those with the nearest of each."""
+    With prints (key, fp) those with the nearest of each; else all, told by sketches of rows (key, text)."""
     parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rare = rare.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
     counts = rare.groupBy("h").agg(F.count("*").alias("n_h"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    blocks = counts.select("h", F.ceil(F.col("n_h") / HOT).cast("int").alias("blocks"))
-    each = rare.join(blocks, "h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("h", "block", (F.pmod(F.xxhash64("key"), F.col("blocks")) == F.col("block")).alias("left"), "key", "n", "component", "sketch")
+    rare = written(rare.join(counts.select("h", F.ceil(F.col("n_h") / HOT).cast("int").alias("blocks")), "h"), "mixed")
+    if rare.isEmpty():
+        return rare.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    if prints is None:
+        needed = written(rare.select("key").distinct(), "needed")
+        texts = rows.select("key", "text").join(_small(needed), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        about = texts.mapInArrow(tidy(_sketched(width)), "key long, sketch binary").withColumnRenamed("sketch", "about")
+    else:
+        about = prints.select("key", F.col("fp").alias("about")).distinct()
+    each = rare.join(about, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("h", "block", (F.pmod(F.xxhash64("key"), F.col("blocks")) == F.col("block")).alias("left"), "key", "n", "component", "about")
     by = each.repartition(parts, "h", "block").sortWithinPartitions("h", "block", F.desc("left"))
-    return by.mapInArrow(_couples(least, nearest), "a long, b long").distinct()
+    return by.mapInArrow(tidy(_couples(least, prints is not None)), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 7) -> DataFrame:
@@ -503,29 +543,31 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int
     different words tell which pairs to look at first: those within `most` bits, along a spanning forest with the closest
     first, and texts of one fingerprint with one of them. That links most copies. Then all pairs that are not connected yet
     and share enough shingles to be similar are looked at, whatever their fingerprints (`shared`), so no link that
-    connects is missed; of each text the likeliest first, for what that connects needs no other link. A null doc_id stays only where there is no other. Of rows with equal doc_id and text, one stays.
+    connects is missed: of each text first the one with the nearest fingerprint, for what that connects needs no other link,
+    and then all that are left. A null doc_id stays only where there is no other. Of rows with equal doc_id and text, one
+    stays.
     """
 
     def nodes(found: DataFrame) -> DataFrame:
-        return components(found).select(F.col("node").alias("key"), "component")
+        return written(components(found).select(F.col("node").alias("key"), "component"), "nodes")
 
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    slim = docs.select("doc_id", "text", key.alias("key"))
+    plain, names = plain_names(docs)
+    key = text_key(plain, names["text"])
+    slim = plain.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"), key.alias("key"))
     prints = written(fingerprints(slim, 1, distinct=True, columns=("doc_id", "key")), "fingerprints")
     first = prints.groupBy("fp").agg(F.min("key").alias("first"))
     within = prints.select("key", "fp").distinct().join(first, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     near = links(prints, most)
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    texts = written(slim.groupBy("key").agg(F.first("text").alias("text")), "texts")
-    linked = written(similar(within.unionByName(across), texts, width, similarity), "similar")
-    rare = shared(texts, width, similarity)
-    for nearest in (True, False):
-        others = written(couples(rare, nodes(linked), similarity, nearest), "couples")
-        linked = linked.unionByName(written(similar(others, texts, width, similarity), "similar"))
+    linked = written(similar(within.unionByName(across), slim, width, similarity), "similar")
+    known = nodes(linked)
+    rare = shared(slim, known, width, similarity)
+    linked = linked.unionByName(written(similar(couples(rare, known, similarity, prints), slim, width, similarity), "similar"))
+    linked = linked.unionByName(written(similar(couples(rare, nodes(linked), similarity, None, slim, width), slim, width, similarity), "similar"))
     least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("doc"))
     labelled = least.join(nodes(linked), "key", "left").withColumn("component", F.coalesce("component", "key"))
     kept = labelled.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("one")).select(F.col("one.doc.doc_id").alias("_doc"), F.col("one.key").alias("_key"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), key.alias("_key"))
+    rows = plain.select(F.struct(*plain.columns).alias("row"), F.col(names["doc_id"]).alias("_doc"), key.alias("_key"))
     match = (rows["_key"] == kept["_key"]) & rows["_doc"].eqNullSafe(kept["_doc"])
     one = rows.join(kept, match, "left_semi").groupBy("_doc", "_key").agg(F.first("row").alias("row"))
-    return one.select("row.*")
+    return one.select("row.*").toDF(*docs.columns)
