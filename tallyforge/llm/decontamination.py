@@ -27,7 +27,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import plain_names, written
 
 #: Words that are compared at once, how many may be replaced, and fewest words of an item.
 WINDOW, SUBSTITUTED, LEAST = 13, 2, 5
@@ -112,10 +112,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BRO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a leak; null doc_ids are compared like others."""
-    leaked = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    leaked = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
     if leaked.count() <= BROADCAST_LEAKED:
         leaked = F.broadcast(leaked)
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    rows, names = plain_names(docs)
+    return rows.join(leaked, F.col(names["doc_id"]).eqNullSafe(F.col("leaked")), "left_anti").toDF(*docs.columns)
 
 
 #: The same in DuckDB's SQL, without seeds: all places where a word of an item and of a document are equal, by diagonal.

@@ -69,5 +69,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resharding, op2_decontamination, op3_warc, op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL}
+def quality_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.base_rules(table(spark, sf_dir, "documents"))
+
+
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.base_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_resharding, op2_decontamination, op3_warc, op4_token_counts, op5_quality, op6_simhash, op7_suffix_dedup, op8_language, op9_bpe, op10_licenses, quality_base_rules, license_base_phrases)}
+#: The last two are the parts of op5 and op10 that SQL can express.
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op3_warc": warc.SQL, "quality_base_rules": quality.SQL, "license_base_phrases": licenses.SQL}
