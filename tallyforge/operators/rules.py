@@ -12,10 +12,13 @@ import re
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.patterns import java_pattern
 from ..types import AMOUNT
 
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d{0,10}|\.\d{1,10})")
@@ -53,14 +56,17 @@ def load_file(path: str) -> list[Rule]:
 
 
 def _pattern(text: str) -> str | None:
-    """The pattern, or null if it isn't one: it may have no look-around and no reference to a group."""
-    if re.search(r"\(\?(<?[=!]|>)|\\[1-9]|\\k<", text):
-        return None
-    try:
-        re.compile(text)
-    except re.error:
-        return None
-    return text
+    """The pattern as Spark is given it, or null if it isn't one. It is compiled once, on the driver."""
+    spark = SparkSession.getActiveSession()
+
+    def compiles(pattern: str) -> bool:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, PySparkException):
+            return False
+        return True
+
+    return java_pattern(text, compiles)
 
 
 def _number(text: str) -> Decimal | None:
