@@ -7,6 +7,9 @@ before it that is near, unless both are of one day and have different references
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,36 +35,38 @@ def candidates(transactions: DataFrame) -> DataFrame:
 _NEAR_KEY = ("account", "amount_text", "commodity", "merchant")
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """candidates with the first of their exact group and their rank in it."""
-    group = Window.partitionBy("date", *_NEAR_KEY, "refs")
-    return rows.withColumn("survivor_id", F.min("id").over(group)).withColumn("rank", F.row_number().over(group.orderBy("id")))
+def firsts(rows: DataFrame) -> DataFrame:
+    """The keys of exact groups, with the smallest id of each. Only sums leave a task, however large a group is."""
+    return rows.groupBy("date", *_NEAR_KEY, "refs").agg(F.min("id").alias("survivor_id"))
 
 
 def exact_links(rows: DataFrame) -> DataFrame:
+    first = firsts(rows).toDF(*(f"f_{c}" for c in ("date", *_NEAR_KEY, "refs")), "survivor_id")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in ("date", *_NEAR_KEY, "refs")))
     text = F.concat(F.lit("same date+account+amount+commodity+merchant+source_refs as "), F.col("survivor_id"))
-    return _links(ranked(rows).where("rank > 1"), EXACT, text)
+    return _links(rows.join(first, same).where("id <> survivor_id"), EXACT, text)
 
 
 def near_links(rows: DataFrame, days: int = 1) -> DataFrame:
-    """Links among the first of each exact group.
+    """Links among the first of each exact group, without pairs.
 
-    The days are cut into buckets as wide as the window; a row meets only rows of its own bucket and the one before, so a key
-    with very many rows is an equi-join on many small groups. A window below zero links nothing.
+    A key's first ids by day say all: the earliest of the days before, within the window, is the survivor; if there is none,
+    one of the same day is, whose references are equal or missing. So the window goes over one row for each key and day,
+    however many rows a key has. A window below zero links nothing.
     """
-    firsts = ranked(rows).where("rank = 1").drop("survivor_id", "rank")
-    width = max(1, days)
-    bucket = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / width)
-    later = firsts.withColumn("_at", bucket)
-    earlier = firsts.select(*(F.col(c).alias(f"e_{c}") for c in ("id", "date", "refs")), *_NEAR_KEY, F.explode(F.array(bucket, bucket + 1)).alias("_at"))
-    met = later.join(earlier, [*_NEAR_KEY, "_at"]).where(F.lit(days >= 0))
-    before = F.struct("e_date", "e_id") < F.struct("date", "id")
-    gap = F.datediff("date", "e_date")
-    apart = (gap == 0) & (F.col("refs") != "") & (F.col("e_refs") != "") & (F.col("refs") != F.col("e_refs"))
-    near = met.where(before & (gap <= days) & ~apart)
-    one = near.groupBy("id", "date").agg(F.min(F.struct("e_date", "e_id")).alias("s")).select("id", "date", F.col("s.e_id").alias("survivor_id"), F.col("s.e_date").alias("e_date"))
+    one = firsts(rows).withColumnRenamed("survivor_id", "id").where(F.lit(days >= 0))
+    by_day = one.groupBy(*_NEAR_KEY, "date").agg(F.min("id").alias("first"), F.min(F.when(F.col("refs") == "", F.col("id"))).alias("bare"))
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    before = Window.partitionBy(*_NEAR_KEY).orderBy("_day").rangeBetween(-max(days, 1), -1)
+    earlier = by_day.withColumn("_day", day).withColumn("_e", F.min(F.struct("date", F.col("first").alias("id"))).over(before))
+    if days < 1:
+        earlier = earlier.withColumn("_e", F.lit(None).cast("struct<date:date,id:string>"))
+    met = one.join(earlier.drop("_day"), [*_NEAR_KEY, "date"])
+    own = F.when(F.col("refs") == "", F.col("first")).otherwise(F.col("bare"))
+    same_day = F.when(own < F.col("id"), F.struct("date", own.alias("id")))
+    linked = met.withColumn("_s", F.coalesce("_e", same_day)).where("_s is not null").select("id", "date", F.col("_s.id").alias("survivor_id"), F.col("_s.date").alias("e_date"))
     text = F.concat(F.lit("same account+amount+merchant; dates "), F.col("e_date").cast("string"), F.lit(" and "), F.col("date").cast("string"), F.lit(f" within {days} day(s)"))
-    return _links(one, NEAR, text)
+    return _links(linked, NEAR, text)
 
 
 def _links(rows: DataFrame, strategy: tuple[str, int], text) -> DataFrame:
