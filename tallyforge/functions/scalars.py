@@ -1,29 +1,24 @@
 """Column functions of the ledger: text, dates, amounts, merchants, identities, accounts and tags.
 
-All are built-in expressions, so they stay in generated code and Catalyst sees through them.
+All are built-in expressions. Those with steps that are needed more than once come in two forms: one over a DataFrame
+(`with_...`), in which each step is a column of a projection of its own and all stays in generated code, and one of a
+column, for use in any expression, in which `let` holds the steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import AMOUNT, POSTING
 
 GENESIS = "0" * 64
 
-#: Numeric date layouts in the order in which they are tried: what the text looks like, and where year, month and day stand.
-DATE_LAYOUTS = (
-    (r"^\d{1,4}-\d{1,2}-\d{1,2}$", 0, 1, 2),
-    (r"^\d{1,2}/\d{1,2}/\d{1,4}$", 2, 1, 0),
-    (r"^\d{1,2}-\d{1,2}-\d{1,4}$", 2, 1, 0),
-    (r"^\d{1,4}/\d{1,2}/\d{1,2}$", 0, 1, 2),
-    (r"^\d{1,2}/\d{1,2}/\d{1,4}$", 2, 0, 1),
-)
-#: Layouts with a month's name, tried after them.
-NAMED_LAYOUTS = ((r"^\d{1,2} [A-Za-z]{3} \d{1,4}$", "d MMM y"), (r"^\d{1,2}-[A-Za-z]{3}-\d{1,4}$", "d-MMM-y"))
+#: What dates look like: three numbers, or a day, a month's name and a year.
+DATE_LIKE = r"^\d{1,4}([-/])\d{1,2}\1\d{1,4}$|^\d{1,2}([ -])[A-Za-z]{3}\2\d{1,4}$"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,9 +26,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows whose columns are computed before any filter on them, and so once.
+
+    A filter on a computed column is pushed below its projection, which computes the column again. It isn't pushed through a
+    projection that isn't deterministic, which the number of the partition makes of this one.
+    """
+    return rows.withColumn("_partition", F.spark_partition_id()).where("_partition >= 0").drop("_partition")
+
+
 def trim_all(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end. The ends are looked at first: most texts have none."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -44,22 +49,43 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.make_date(year, month, F.when(day.between(1, last), day))
 
 
-def parse_date(text: Column) -> Column:
-    """The first layout that fits, day before month; null if none does.
+def _date_parts(x: Column) -> Column:
+    """Of a trimmed text that looks like a date: separator, three numbers (the second may be a month's name), digits of
+    the first and the last, and whether there is a name."""
+    p = F.split(x, "[-/ ]")
+    at = lambda k: F.get(p, F.lit(k))
+    place = F.instr(F.lit(MONTHS), F.lower(at(1)))
+    month = F.when(place % 3 == 1, ((place + 2) / 3).cast("int"))
+    named = F.length(at(1)) == 3
+    parts = F.struct(
+        F.substring(x, F.length(at(0)) + 1, F.lit(1)).alias("sep"),
+        at(0).try_cast("int").alias("a"),
+        F.when(named, month).otherwise(at(1).try_cast("int")).alias("b"),
+        at(2).try_cast("int").alias("c"),
+        F.length(at(0)).alias("la"),
+        F.length(at(2)).alias("lc"),
+        named.alias("named"),
+    )
+    return F.when(x.rlike(DATE_LIKE), parts)
 
-    Layouts are told apart by patterns and numbers, since a parser that fails throws, which costs more than all else.
-    """
 
-    def numbered(x: Column) -> Column:
-        numbers = F.transform(F.split(x, "[-/]"), lambda n: n.try_cast("int"))
-        tried = lambda n: F.coalesce(*(F.when(x.rlike(like), _day(n[y], n[m], n[d])) for like, y, m, d in DATE_LAYOUTS))
-        return let(numbers, tried)
+def _date_of(p: Column) -> Column:
+    """The first layout that fits, in this order: with dashes year or day first, with slashes day, year or month first."""
+    year_first = F.when(p["lc"] <= 2, _day(p["a"], p["b"], p["c"]))
+    short = p["la"] <= 2
+    day_first = F.when(short, _day(p["c"], p["b"], p["a"]))
+    month_first = F.when(short, _day(p["c"], p["a"], p["b"]))
+    return F.when(p["named"], _day(p["c"], p["b"], p["a"])).when(p["sep"] == "-", F.coalesce(year_first, day_first)).otherwise(F.coalesce(day_first, year_first, month_first))
+
 
-    def named(x: Column) -> Column:
-        first = F.coalesce(*(F.when(x.rlike(like), F.try_to_date(x, layout)) for like, layout in NAMED_LAYOUTS))
-        return let(first, lambda d: _day(F.year(d), F.month(d), F.dayofmonth(d)))
+def with_date(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with `name`, the date of their column `text`, or null."""
+    return rows.withColumn("_x", trim_all(F.col(text))).withColumn("_p", _date_parts(F.col("_x"))).withColumn(name, _date_of(F.col("_p"))).drop("_x", "_p")
 
-    return let(trim_all(text), lambda x: F.when(x.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}$"), numbered(x)).otherwise(named(x)))
+
+def parse_date(text: Column) -> Column:
+    """A date, or null. Day before month where both fit."""
+    return let(trim_all(text), lambda x: let(_date_parts(x), _date_of))
 
 
 def amount_digits(text: Column) -> Column:
@@ -67,23 +93,31 @@ def amount_digits(text: Column) -> Column:
     return F.replace(trim_all(text), F.lit(","), F.lit(""))
 
 
+def amount_of(digits: Column) -> Column:
+    return F.when(digits.rlike(r"^[+-]?(\d+\.?\d{0,10}|\.\d{1,10})$"), digits.try_cast(AMOUNT))
+
+
 def parse_amount(text: Column) -> Column:
     """An exact decimal, or null where it isn't a plain number of at most 10 fractional digits."""
-    plain = r"^[+-]?(\d+\.?\d{0,10}|\.\d{1,10})$"
-    return let(amount_digits(text), lambda x: F.when(x.rlike(plain), x.try_cast(AMOUNT)))
+    return let(amount_digits(text), amount_of)
+
+
+def text_of_digits(digits: Column) -> Column:
+    """In the scale it was written in: no plus sign, no needless zeros in front, a digit before the point, none at the end."""
+    plain = F.regexp_replace(F.regexp_replace(digits, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"^(-?)\.", "$10."), r"\.$", "")
+    return F.when(digits.rlike(r"^(\+|-?0\d|-?\.)|\.$"), plain).otherwise(digits)
 
 
 def amount_text(text: Column) -> Column:
-    """The amount as written, in the scale it was written in: no plus sign, no needless zeros in front."""
-    digits = F.regexp_replace(amount_digits(text), r"^\+", "")
-    digits = F.regexp_replace(digits, r"^(-?)0+(?=\d)", "$1")
-    return F.regexp_replace(F.regexp_replace(digits, r"^(-?)\.", "$10."), r"\.$", "")
+    """The amount as written."""
+    return text_of_digits(amount_digits(text))
 
 
 def canonical_amount(text: Column) -> Column:
     """Without zeros at the end of the fraction: 10.00 is 10."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.regexp_replace(bare, "^-0$", "0")
+    return F.when(text.endswith("0") | text.endswith("."), F.when(bare == "-0", "0").otherwise(bare)).otherwise(text)
 
 
 def decimal_text(amount: Column) -> Column:
@@ -133,16 +167,30 @@ def _collapsed(text: Column) -> Column:
     return F.regexp_replace(F.upper(trim_all(text)), r"(?U)\s+", " ")
 
 
+def _without_reference(whole: Column) -> Column:
+    return trim_all(F.regexp_replace(whole, r"[*#][A-Z0-9]{4,}$", ""))
+
+
 def merchant_name(text: Column) -> Column:
     """Upper-cased name with single blanks, without a reference such as *ABC123 at its end unless that is all."""
-    bare = lambda whole: trim_all(F.regexp_replace(whole, r"[*#][A-Z0-9]{4,}$", ""))
-    return let(_collapsed(text), lambda whole: let(bare(whole), lambda b: F.when(b == "", whole).otherwise(b)))
+    return let(_collapsed(text), lambda whole: let(_without_reference(whole), lambda b: F.when(b == "", whole).otherwise(b)))
+
+
+def key_of_name(name: Column) -> Column:
+    bare = F.trim(F.regexp_replace(name, r"[^A-Z0-9 ]+", ""))
+    return F.lower(F.regexp_replace(bare, " +", "_"))
 
 
 def merchant_key(text: Column) -> Column:
     """Lower-cased ASCII letters and digits of the name, words joined by underscores; it may be empty."""
-    bare = F.regexp_replace(merchant_name(text), r"[^A-Z0-9 ]", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(bare, "^ +| +$", ""), " +", "_"))
+    return key_of_name(merchant_name(text))
+
+
+def with_merchant(rows: DataFrame, text: str, key: str, name: str = "_name") -> DataFrame:
+    """rows with the merchant's name, if it is named, and key of their column `text`."""
+    steps = rows.withColumn("_whole", _collapsed(F.col(text))).withColumn("_bare", _without_reference(F.col("_whole")))
+    named = steps.withColumn(name, F.when(F.col("_bare") == "", F.col("_whole")).otherwise(F.col("_bare")))
+    return named.withColumn(key, key_of_name(F.col(name))).drop("_whole", "_bare", "_name")
 
 
 def merchant_reasons(text: Column) -> Column:
@@ -163,12 +211,16 @@ def fingerprint(adapter: Column, account: Column, date: Column, text: Column, co
     return F.concat_ws("|", F.lit("v1"), adapter, account, date.cast("string"), canonical_amount(text), code, sorted_refs, F.coalesce(merchant, F.lit("")))
 
 
+def uuid8_of(h: Column) -> Column:
+    """A UUID of version 8 from a SHA-256 in hexadecimal digits."""
+    at = lambda start, n: F.substring(h, start, n)
+    variant = F.translate(at(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-8"), at(14, 3), F.lit("-"), variant, at(18, 3), F.lit("-"), at(21, 12))
+
+
 def uuid8(text: Column) -> Column:
     """A UUID of version 8 from the first half of the SHA-256 of a text."""
-    at = lambda h, start, n: F.substring(h, start, n)
-    variant = lambda h: F.lower(F.hex((F.conv(at(h, 17, 2), 16, 10).cast("int").bitwiseAND(63)).bitwiseOR(128)))
-    parts = lambda h: F.concat(at(h, 1, 8), F.lit("-"), at(h, 9, 4), F.lit("-8"), at(h, 14, 3), F.lit("-"), variant(h), at(h, 19, 2), F.lit("-"), at(h, 21, 12))
-    return let(F.sha2(text, 256), parts)
+    return let(F.sha2(text, 256), uuid8_of)
 
 
 def bean_account(account: Column) -> Column:

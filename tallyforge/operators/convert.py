@@ -31,10 +31,11 @@ def convert(raw: DataFrame, adapter: str, options: Options) -> DataFrame:
 
     The checks are made in order: date, amount, zero, commodity. A row with a parse error isn't checked.
     """
-    date, amount = S.parse_date(F.col("date_raw")), S.parse_amount(F.col("amount_raw"))
     given = S.trim_all(F.col("currency_raw"))
-    code = F.when(F.coalesce(given, F.lit("")) == "", F.lit(options.commodity)).otherwise(S.commodity(given))
-    parsed = raw.withColumns({"date": date, "amount": amount, "amount_text": S.amount_text(F.col("amount_raw")), "commodity": code, "narration": S.merchant_key(F.col("description_raw"))})
+    parsed = S.with_merchant(S.with_date(raw, "date_raw", "date"), "description_raw", "narration")
+    parsed = parsed.withColumns({"_digits": S.amount_digits(F.col("amount_raw")), "_given": given})
+    code = F.when(F.coalesce("_given", F.lit("")) == "", F.lit(options.commodity)).otherwise(S.commodity(F.col("_given")))
+    parsed = parsed.withColumns({"amount": S.amount_of(F.col("_digits")), "amount_text": S.text_of_digits(F.col("_digits")), "commodity": code}).drop("_digits", "_given")
     error = F.when(
         F.col("parse_error").isNull(),
         F.coalesce(
@@ -44,7 +45,7 @@ def convert(raw: DataFrame, adapter: str, options: Options) -> DataFrame:
             F.when(F.col("commodity").isNull(), F.concat(F.lit("invalid commodity: "), F.col("currency_raw"))),
         ),
     )
-    checked = parsed.withColumn("error", error)
+    checked = S.once(parsed.withColumn("error", error))
     good = F.col("error").isNull() & F.col("parse_error").isNull()
     mark = S.fingerprint(F.lit(adapter), F.lit(options.bank), F.col("date"), F.col("amount_text"), F.col("commodity"), F.col("source_refs"), F.col("narration"))
     offset = F.when(F.col("amount") < 0, F.lit(options.expense)).otherwise(F.lit(options.income))
@@ -52,17 +53,17 @@ def convert(raw: DataFrame, adapter: str, options: Options) -> DataFrame:
         S.posting(F.lit(options.bank), F.col("amount"), F.col("amount_text"), F.col("commodity"), F.array_join("source_refs", ",")),
         S.posting(offset, -F.col("amount"), S.negated_text(F.col("amount_text")), F.col("commodity")),
     )
-    done = checked.withColumn("row_fingerprint", F.when(good, mark))
+    done = checked.withColumn("row_fingerprint", F.when(good, mark)).withColumn("_hash", F.sha2("row_fingerprint", 256))
     return done.withColumns(
         {
-            "id": S.uuid8(F.col("row_fingerprint")),
+            "id": S.uuid8_of(F.col("_hash")),
             "payee": S.trim_all(F.col("description_raw")),
             "import_batch_id": F.lit(options.batch_id).cast("string"),
             "duplicate_of": F.lit(None).cast("string"),
             "tags": F.array().cast("array<string>"),
             "postings": F.when(good, legs),
         }
-    )
+    ).drop("_hash")
 
 
 _TRANSACTION = ("id", "date", "payee", "narration", "import_batch_id", "duplicate_of", "tags", "row_fingerprint", "postings")
@@ -74,32 +75,31 @@ def transactions(converted: DataFrame) -> DataFrame:
 
 
 def statement_rows(converted: DataFrame, adapter: str, options: Options) -> DataFrame:
-    """One row for each raw row: ok, convert_error or parse_error, in that order of precedence for a row number."""
-    message = F.coalesce("parse_error", "error")
-
-    def project(part: DataFrame, status: Column) -> DataFrame:
-        return part.select(
-            F.lit(options.batch_id).cast("string").alias("batch_id"),
-            F.lit(adapter).alias("adapter"),
-            F.lit(options.bank).alias("account_id"),
-            F.coalesce("row_number", S.error_row(message)).cast("long").alias("row_number"),
-            "date_raw",
-            "amount_raw",
-            "currency_raw",
-            "description_raw",
-            "balance_raw",
-            "source_refs",
-            F.col("row_fingerprint").alias("fingerprint"),
-            status.alias("parse_status"),
-            message.alias("error"),
-            F.col("id").alias("transaction_id"),
-        )
-
-    # split by a column of the source, so that neither side converts the other's rows to leave them out
-    taken = project(converted.where("parse_error is null"), F.when(F.col("error").isNotNull(), "convert_error").otherwise("ok"))
-    failed = project(converted.where("parse_error is not null"), F.lit("parse_error"))
-    numbers = converted.where("parse_error is null").select(F.lit(options.batch_id).cast("string").alias("batch_id"), F.col("row_number").cast("long").alias("row_number")).distinct()
-    return taken.unionByName(first_per_row(failed, numbers))
+    """One row for each raw row: ok, convert_error or parse_error, in that order of precedence for a row number.
+
+    A parse error whose text names no row has the number -1, -2 and so on, by text.
+    """
+    none = F.lit(None).cast("string")
+    batch = F.lit(options.batch_id).cast("string").alias("batch_id")
+
+    def project(part: DataFrame, number: Column, status: Column, mark: Column, message: Column, tx: Column) -> DataFrame:
+        raw = ("date_raw", "amount_raw", "currency_raw", "description_raw", "balance_raw", "source_refs")
+        return part.select(batch, F.lit(adapter).alias("adapter"), F.lit(options.bank).alias("account_id"), number.cast("long").alias("row_number"), *raw, mark.alias("fingerprint"), status.alias("parse_status"), message.alias("error"), tx.alias("transaction_id"))
+
+    # what a parse error hasn't got is not named, so that nothing is converted to find the errors
+    status = F.when(F.col("error").isNotNull(), "convert_error").otherwise("ok")
+    taken = project(converted.where("parse_error is null"), F.col("row_number"), status, F.col("row_fingerprint"), F.col("error"), F.col("id"))
+    number = F.coalesce(F.col("row_number").cast("long"), S.error_row(F.col("parse_error")))
+    failed = project(converted.where("parse_error is not null"), number, F.lit("parse_error"), none, F.col("parse_error"), none)
+    numbers = converted.where("parse_error is null").select(batch, F.col("row_number").cast("long").alias("row_number")).distinct()
+    return taken.unionByName(first_per_row(numbered(failed), numbers))
+
+
+def numbered(errors: DataFrame) -> DataFrame:
+    """errors, of which those without a row number get -1, -2 and so on in their batch, by text."""
+    order = Window.partitionBy("batch_id").orderBy("error")
+    rest = errors.where("row_number is null").withColumn("row_number", -F.row_number().over(order).cast("long"))
+    return errors.where("row_number is not null").unionByName(rest)
 
 
 def first_per_row(errors: DataFrame, taken: DataFrame) -> DataFrame:
