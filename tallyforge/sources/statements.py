@@ -11,7 +11,9 @@ import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from ..types import RAW_ROW
 
 #: Largest file, and most records of a file.
 MAX_BYTES, MAX_ROWS = 32 << 20, 200_000
+#: Rows of a batch that is handed on.
+BATCH_ROWS = 1 << 14
 
 
 class RowError(ValueError):
@@ -32,57 +36,45 @@ class SchemaError(ValueError):
 Fields = Callable[[str], str]
 
 
+@dataclass(frozen=True)
+class Columns:
+    """Names of the columns that hold each value. An amount is in one column, or in one of two for what was paid and got."""
+
+    date: str
+    description: str
+    amount: str | None = None
+    currency: str | None = None
+    balance: str | None = None
+    paid: str | None = None
+    got: str | None = None
+    code: str | None = None  # the currency of all rows
+    amount_needed: bool = True
+
+
 @dataclass(frozen=True)
 class Adapter:
-    """A layout: its columns, and how a record becomes date, amount, currency, description and balance."""
+    """A layout: columns that it needs, and how a record becomes date, amount, currency, description and balance: by the
+    columns that hold them, or by a function of one record's fields, which may raise RowError."""
 
     id: str
     name: str
     required: tuple[str, ...]
     ref: str
-    map: Callable[[Fields, Fields], tuple] = field(repr=False)
-
-
-
-
-def _signed(get: Fields, maybe: Fields) -> tuple:
-    amount = get("Amount")
-    if not amount:
-        raise RowError("missing amount")
-    return get("Date"), amount, maybe("Currency"), get("Description"), maybe("Balance")
-
-
-def _two_columns(get: Fields, maybe: Fields) -> tuple:
-    date, text = get("Date"), get("Narration")
-    blank = lambda s: "" if (s or "").strip() in ("", "-") else s.strip()
-    paid, got = blank(maybe("Withdrawal Amt.")), blank(maybe("Deposit Amt."))
-    if not (got or paid):
-        raise RowError("missing amount")
-    return date, got or f"-{paid}", "INR", text, maybe("Closing Balance")
-
-
-def _card(get: Fields, maybe: Fields) -> tuple:
-    amount = get("Amount")
-    if not amount:
-        raise RowError("missing amount")
-    return get("Transaction Date"), amount, maybe("Currency"), get("Description"), None
+    columns: Columns | None = None
+    map: Callable[[Fields, Fields], tuple] | None = field(default=None, repr=False)
 
 
 def custom(date: str = "date", description: str = "description", amount: str = "amount", currency: str | None = "currency", balance: str | None = None) -> Adapter:
     """A layout with columns of any name. An empty amount is no parse error here; conversion reports it."""
-
-    def mapped(get: Fields, maybe: Fields) -> tuple:
-        return get(date), get(amount), maybe(currency) if currency else None, get(description), maybe(balance) if balance else None
-
-    return Adapter("custom", "Custom column mapping", (date, description, amount), "custom", mapped)
+    return Adapter("custom", "Custom column mapping", (date, description, amount), "custom", Columns(date, description, amount, currency, balance, amount_needed=False))
 
 
 BUILTIN = {
     a.id: a
     for a in (
-        Adapter("generic_csv", "Generic CSV", ("Date", "Description", "Amount"), "generic", _signed),
-        Adapter("hdfc", "HDFC CSV", ("Date", "Narration", "Withdrawal Amt.", "Deposit Amt."), "hdfc", _two_columns),
-        Adapter("credit_card", "Credit card CSV", ("Transaction Date", "Description", "Amount"), "cc", _card),
+        Adapter("generic_csv", "Generic CSV", ("Date", "Description", "Amount"), "generic", Columns("Date", "Description", "Amount", "Currency", "Balance")),
+        Adapter("hdfc", "HDFC CSV", ("Date", "Narration", "Withdrawal Amt.", "Deposit Amt."), "hdfc", Columns("Date", "Narration", None, None, "Closing Balance", "Withdrawal Amt.", "Deposit Amt.", "INR")),
+        Adapter("credit_card", "Credit card CSV", ("Transaction Date", "Description", "Amount"), "cc", Columns("Transaction Date", "Description", "Amount", "Currency")),
         custom(),
     )
 }
@@ -98,41 +90,80 @@ def adapters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a.id, a.name) for a in BUILTIN.values()], "id string, name string")
 
 
-def parse(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> Iterator[tuple]:
-    """Rows of RAW_ROW. Row numbers count records from 2, the first after the header."""
-    if len(content) > max_bytes:
-        raise SchemaError(f"file exceeds {max_bytes} bytes")
-    records = csv.reader(io.StringIO(content.decode("utf-8-sig", "surrogateescape"), newline=""))
-    head = [h.strip().encode("utf-8", "replace").decode() for h in next(records, [])]
-    place: dict[str, int] = {}
-    for k, h in enumerate(head):
-        place.setdefault(h.lower(), k)
-    for name in layout.required:
-        if name.lower() not in place:
-            raise SchemaError(f"missing required column '{name}' (have: {', '.join(head)})")
-    number = 1
+_RAW = pa.schema(
+    [("row_number", pa.int32())]
+    + [(c, pa.string()) for c in ("date_raw", "amount_raw", "currency_raw", "description_raw", "balance_raw")]
+    + [("source_refs", pa.list_(pa.string())), ("parse_error", pa.string())]
+)
+
+
+def _records(text: str, max_rows: int) -> tuple[list[str], list[list[str]], dict[int, str]]:
+    """Header, records that aren't empty, and errors of the reader by place; an unreadable record has no fields."""
+    reader = csv.reader(io.StringIO(text, newline=""))
+    head = next(reader, [])
+    records: list[list[str]] = []
+    errors: dict[int, str] = {}
     while True:
         try:
-            record = next(records)
-        except StopIteration:
-            return
+            records += [r for r in reader if r] if not records else filter(None, reader)
+            break
         except csv.Error as e:
-            number += 1
-            yield (number, None, None, None, None, None, [], f"row {number}: {e}")
-            continue
-        if not record:
-            continue
-        number += 1
-        if number - 1 > max_rows:
-            raise SchemaError(f"too many data rows (max {max_rows})")
-        values = [v.strip() for v in record]
-        if any("\udc80" <= c <= "\udcff" for v in values for c in v):  # bytes that no text has
-            yield (number, None, None, None, None, None, [], f"row {number}: invalid UTF-8")
-            continue
-
-        def maybe(name: str, values=values) -> str | None:
+            errors[len(records)] = str(e)
+            records.append([])
+    if len(records) > max_rows:
+        raise SchemaError(f"too many data rows (max {max_rows})")
+    return head, records, errors
+
+
+def _place(head: list[str], required: tuple[str, ...]) -> dict[str, int]:
+    """Where each column is, by its name in lower case; the first of equal ones."""
+    names = [h.strip().encode("utf-8", "replace").decode() for h in head]
+    place: dict[str, int] = {}
+    for k, h in enumerate(names):
+        place.setdefault(h.lower(), k)
+    for name in required:
+        if name.lower() not in place:
+            raise SchemaError(f"missing required column '{name}' (have: {', '.join(names)})")
+    return place
+
+
+def _by_columns(columns: Columns, records: list[list[str]], place: dict[str, int]) -> tuple[list[pa.Array], pa.Array]:
+    """The five values of all records, and what is wrong with each."""
+
+    def values(name: str | None) -> pa.Array:
+        k = place.get(name.lower()) if name else None
+        if k is None:
+            return pa.nulls(len(records), pa.string())
+        return pc.utf8_trim_whitespace(pa.array([r[k] if k < len(r) else None for r in records], pa.string()))
+
+    wrong = pa.nulls(len(records), pa.string())
+    asked = (columns.amount, columns.date, columns.description) if columns.amount_needed else (columns.date, columns.amount, columns.description)
+    given = {name: values(name) for name in asked if name}  # in this order fields are missed
+    balance = values(columns.balance)
+    if columns.amount is None:
+        paid, got = (pc.if_else(pc.equal(x, "-"), "", pc.fill_null(x, "")) for x in (values(columns.paid), values(columns.got)))
+        # what a tool writes where nothing is, is nothing
+        paid, got = (pc.utf8_trim_whitespace(x) for x in (paid, got))
+        amount = pc.if_else(pc.equal(got, ""), pc.if_else(pc.equal(paid, ""), "", pc.binary_join_element_wise("-", paid, "")), got)
+    else:
+        amount = given[columns.amount]
+    for name, found in given.items():
+        wrong = pc.coalesce(wrong, pc.if_else(pc.is_null(found), f"missing field {name}", pa.scalar(None, pa.string())))
+        if columns.amount_needed and name == columns.amount:
+            wrong = pc.coalesce(wrong, pc.if_else(pc.equal(found, ""), "missing amount", pa.scalar(None, pa.string())))
+    if columns.amount is None and columns.amount_needed:
+        wrong = pc.coalesce(wrong, pc.if_else(pc.equal(amount, ""), "missing amount", pa.scalar(None, pa.string())))
+    currency = pa.array([columns.code] * len(records), pa.string()) if columns.code else values(columns.currency)
+    return [given[columns.date], amount, currency, given[columns.description], balance], wrong
+
+
+def _by_function(layout: Adapter, records: list[list[str]], place: dict[str, int]) -> tuple[list[pa.Array], pa.Array]:
+    rows, wrong = [], []
+    for record in records:
+
+        def maybe(name: str, record=record) -> str | None:
             k = place.get(name.lower())
-            return values[k] if k is not None and k < len(values) else None
+            return record[k].strip() if k is not None and k < len(record) else None
 
         def get(name: str, maybe=maybe) -> str:
             value = maybe(name)
@@ -141,42 +172,83 @@ def parse(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows:
             return value
 
         try:
-            date, amount, currency, text, balance = layout.map(get, maybe)
+            rows.append(layout.map(get, maybe))
+            wrong.append(None)
         except RowError as e:
-            yield (number, None, None, None, None, None, [], f"parse error at row {number}: {e}")
-            continue
-        yield (number, date, amount, currency, text, balance, [f"{layout.ref}:row:{number}"], None)
+            rows.append((None,) * 5)
+            wrong.append(str(e))
+    return [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.nulls(0, pa.string())] * 5, pa.array(wrong, pa.string())
 
 
-_SCHEMA = pa.schema(
-    [("source_path", pa.string()), ("source_sha256", pa.string()), ("row_number", pa.int32())]
-    + [(c, pa.string()) for c in ("date_raw", "amount_raw", "currency_raw", "description_raw", "balance_raw")]
-    + [("source_refs", pa.list_(pa.string())), ("parse_error", pa.string()), ("schema_error", pa.string())]
-)
+def parse_batch(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> pa.RecordBatch:
+    """Rows of RAW_ROW. Row numbers count records from 2, the first after the header."""
+    if len(content) > max_bytes:
+        raise SchemaError(f"file exceeds {max_bytes} bytes")
+    csv.field_size_limit(max(csv.field_size_limit(), max_bytes))
+    text = content.decode("utf-8-sig", "surrogateescape")
+    head, records, errors = _records(text, max_rows)
+    place = _place(head, layout.required)
+    number = np.arange(2, len(records) + 2, dtype=np.int32)
+    unread = {k: f"row {number[k]}: {e}" for k, e in errors.items()}
+    if not text.isascii() and any("\udc80" <= c <= "\udcff" for c in text):  # bytes that no text has
+        for k, r in enumerate(records):
+            if any("\udc80" <= c <= "\udcff" for v in r for c in v):
+                unread[k], records[k] = f"row {number[k]}: invalid UTF-8", []
+    five, wrong = _by_columns(layout.columns, records, place) if layout.columns else _by_function(layout, records, place)
+    numbers = pa.array(number)
+    wrong = pc.if_else(pc.is_null(wrong), wrong, pc.binary_join_element_wise("parse error at row ", numbers.cast(pa.string()), ": ", pc.fill_null(wrong, ""), ""))
+    if unread:
+        wrong = pc.coalesce(pa.array([unread.get(k) for k in range(len(records))], pa.string()), wrong)
+    good = pc.is_null(wrong)
+    five = [pc.if_else(good, c, pa.scalar(None, pa.string())) for c in five]
+    refs = pc.binary_join_element_wise(f"{layout.ref}:row:", numbers.cast(pa.string()), "").filter(good)
+    ends = np.concatenate([[0], np.cumsum(good.to_numpy(zero_copy_only=False))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), refs)
+    return pa.RecordBatch.from_arrays([numbers, *five, lists, wrong], schema=_RAW)
 
 
-def read(spark: SparkSession, path: str, layout: Adapter, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Raw rows of all files at path, with source_path and source_sha256. A file that can't be read at all is one row, with
+def parse(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> Iterator[tuple]:
+    """The rows of `parse_batch` as tuples."""
+    batch = parse_batch(layout, content, max_bytes, max_rows)
+    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+_SCHEMA = pa.schema([("source_path", pa.string()), ("source_sha256", pa.string()), *_RAW, ("schema_error", pa.string())])
+RAW = f"source_path string, source_sha256 string, {RAW_ROW}, schema_error string"
+
+
+def parsed(layout: Adapter, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over files (path, length, sha, content): their rows; a file that can't be read is one row with
     schema_error set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.to_pylist():
-                name = {"source_path": one["path"], "source_sha256": one["sha"]}
-                rows, failed = [], None
                 try:
                     if one["length"] > max_bytes:
                         raise SchemaError(f"file exceeds {max_bytes} bytes")
-                    rows = list(parse(layout, one["content"] or b"", max_bytes, max_rows))
+                    rows, failed = parse_batch(layout, one["content"] or b"", max_bytes, max_rows), None
                 except SchemaError as e:
-                    rows, failed = [], f"invalid schema: {e}"
-                fields = _SCHEMA.names[2:-1]
-                out = [name | dict(zip(fields, r, strict=True)) for r in rows] + ([name | {"schema_error": failed}] if failed else [])
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
-    return files.mapInArrow(run, f"source_path string, source_sha256 string, {RAW_ROW}, schema_error string")
+                    rows, failed = pa.RecordBatch.from_pylist([{}], _RAW), f"invalid schema: {e}"
+                for a in range(0, rows.num_rows, BATCH_ROWS):
+                    part = rows.slice(a, BATCH_ROWS)
+                    name = [pa.array([one[c]] * part.num_rows, pa.string()) for c in ("path", "sha")]
+                    yield pa.RecordBatch.from_arrays([*name, *part.columns, pa.array([failed] * part.num_rows, pa.string())], schema=_SCHEMA)
+
+    return run
+
+
+def files_of(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """What `parsed` takes of a frame of files. The content of one that is too large isn't handed on."""
+    content = F.when(F.col("length") <= max_bytes, F.col("content"))
+    return files.select("path", "length", F.sha2(content, 256).alias("sha"), content.alias("content"))
+
+
+def read(spark: SparkSession, path: str, layout: Adapter, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Raw rows of all files at path, with source_path and source_sha256. A file that can't be read at all is one row, with
+    schema_error set."""
+    files = spark.read.format("binaryFile").load(path)
+    return files_of(files, max_bytes).mapInArrow(parsed(layout, max_bytes, max_rows), RAW)
 
 
 def report(raw: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Streaming import: new statement files of a folder become statement rows and transactions as they arrive.
 
 Each micro-batch is one idempotent append: its rows are joined against what is there, and its directory is named by the
-batch, so a batch that is run again after a failure replaces what it wrote.
+batch, so a batch that is run again after a failure replaces what it wrote. A file that can't be read at all, for a column
+that is missing or its size, is a row of the table FAILED.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from .. import types as T
 from ..operators import convert, importing
 from ..sources import statements
 
-_RAW = f"source_path string, source_sha256 string, {T.RAW_ROW}, schema_error string"
+#: Table of files that can't be read, and its columns.
+FAILED, FAILED_ROW = "failed_files", "source_path string, source_sha256 string, schema_error string"
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,21 +29,8 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def import_stream(spark: SparkSession, folder: str, out: str, layout: statements.Adapter, options: convert.Options) -> StreamingQuery:
     """Imports files that are in folder and those that come; stop() ends it, processAllAvailable() waits."""
-    import pyarrow as pa
-
-    def read(batches):
-        for batch in batches:
-            for one in batch.to_pylist():
-                name = {"source_path": one["path"], "source_sha256": one["sha"]}
-                try:
-                    rows = [name | dict(zip(statements._SCHEMA.names[2:-1], r, strict=True)) for r in statements.parse(layout, one["content"] or b"")]
-                except statements.SchemaError as e:
-                    rows = [name | {"schema_error": f"invalid schema: {e}"}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=statements._SCHEMA)
-
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    raw = files.select("path", F.sha2("content", 256).alias("sha"), "content").mapInArrow(read, _RAW)
+    raw = statements.files_of(files).mapInArrow(statements.parsed(layout), statements.RAW)
 
     def append(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
@@ -53,6 +42,7 @@ def import_stream(spark: SparkSession, folder: str, out: str, layout: statements
         done = session.read.schema(new.schema).parquet(f"{out}/staged/batch={number}")
         done.write.mode("overwrite").parquet(f"{out}/transactions/batch={number}")
         convert.statement_rows(converted, layout.id, options).write.mode("overwrite").parquet(f"{out}/statement_rows/batch={number}")
+        rows.where("schema_error is not null").select("source_path", "source_sha256", "schema_error").write.mode("overwrite").parquet(f"{out}/{FAILED}/batch={number}")
         converted.unpersist()
 
     return raw.writeStream.foreachBatch(append).option("checkpointLocation", f"{out}/checkpoint").start()

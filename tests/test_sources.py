@@ -51,6 +51,22 @@ def test_bytes_that_are_no_text():
     assert [r[-1] for r in got] == ["row 2: invalid UTF-8", None]
 
 
+def test_long_fields_and_plug_ins():
+    long = "x" * 300_000
+    got = rows("generic", f"Date,Description,Amount\n2026-01-01,{long},1\n")
+    assert got[0][4] == long and got[0][-1] is None
+
+    def mapped(get, maybe):
+        if get("n") == "0":
+            raise A.RowError("no n")
+        return get("d"), get("n"), None, maybe("t"), None
+
+    own = A.Adapter("own", "Own", ("d", "n"), "own", map=mapped)
+    found = list(A.parse(own, b"d,n,t\n2026-01-01, 5 ,x\n\n2026-01-02,0\n2026-01-03\n"))
+    assert found[0][:6] == (2, "2026-01-01", "5", None, "x", None) and found[0][6] == ["own:row:2"]
+    assert [r[-1] for r in found] == [None, "parse error at row 3: no n", "parse error at row 4: missing field n"]
+
+
 def test_caps():
     with pytest.raises(A.SchemaError, match="exceeds"):
         list(A.parse(A.adapter("generic"), b"x" * 11, max_bytes=10))
