@@ -6,7 +6,7 @@ a file is written in order by a range-partitioned sort. Only the small heads (cu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,29 @@ def json_lines(transactions: DataFrame) -> DataFrame:
     return active(transactions).select("date", F.col("id").alias("transaction_id"), F.to_json(body, {"ignoreNullFields": "false"}).alias("line"))
 
 
+def json_entries(transactions: DataFrame) -> DataFrame:
+    """date, transaction_id and entry: each transaction as it stands in the indented document, with the fields of
+    json_lines."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    field = lambda n, c: F.concat(F.lit(f'"{n}": '), quoted(c))
+    block = lambda items, margin, a, b: F.when(F.size(items) == 0, F.lit(a + b)).otherwise(F.concat(F.lit(a + "\n" + margin + "  "), F.array_join(items, ",\n" + margin + "  "), F.lit("\n" + margin + b)))
+    leg = lambda p: block(F.array(*(field(n, p[c]) for n, c in (("account", "account"), ("amount", "amount_text"), ("commodity", "commodity"), ("memo", "memo")))), " " * 8, "{", "}")
+    plain = lambda n: field(n, F.col(n))
+    listed = lambda n, items: F.concat(F.lit(f'"{n}": '), block(items, " " * 6, "[", "]"))
+    fields = F.array(
+        plain("id"),
+        field("date", F.col("date").cast("string")),
+        plain("payee"),
+        plain("narration"),
+        listed("postings", F.transform(F.coalesce("postings", F.array()), leg)),
+        plain("import_batch_id"),
+        plain("duplicate_of"),
+        listed("tags", F.transform("tags", quoted)),
+        plain("row_fingerprint"),
+    )
+    return active(transactions).select("date", F.col("id").alias("transaction_id"), F.concat(F.lit("    "), block(fields, " " * 4, "{", "}")).alias("entry"))
+
+
 def commodity_uses(transactions: DataFrame) -> DataFrame:
     """Number of postings and first date of each commodity."""
     return postings(active(transactions)).groupBy("commodity").agg(F.count("*").alias("uses"), F.min("date").alias("first_date"))
@@ -77,8 +100,9 @@ def _csv(transactions: DataFrame) -> tuple[str, DataFrame, str]:
 
 
 def _json(transactions: DataFrame) -> tuple[str, DataFrame, str]:
-    rows = json_lines(transactions).select("date", "transaction_id", F.lit(0).alias("ordinal"), F.concat(F.lit("\n    "), F.col("line")).alias("text"))
-    return '{\n  "transactions": [', rows, "\n  ]\n}\n"
+    rows = json_entries(transactions).select("date", "transaction_id", F.lit(0).alias("ordinal"), F.col("entry").alias("text"))
+    empty = active(transactions).isEmpty()
+    return '{\n  "transactions": [' if empty else '{\n  "transactions": [\n', rows, "]\n}" if empty else "\n  ]\n}"
 
 
 def _beancount(transactions: DataFrame) -> tuple[str, DataFrame, str]:
@@ -95,22 +119,36 @@ def _beancount(transactions: DataFrame) -> tuple[str, DataFrame, str]:
 EXPORTERS: dict[str, Callable[[DataFrame], tuple[str, DataFrame, str]]] = {"csv": _csv, "json": _json, "beancount": _beancount}
 
 
-def export_text(transactions: DataFrame, form: str) -> str:
-    """The whole export as one text; rows come to the driver a partition at a time."""
+def export_parts(transactions: DataFrame, form: str) -> Iterator[str]:
+    """The whole export, piece by piece; rows come to the driver a partition at a time."""
     head, rows, tail = EXPORTERS[form](transactions)
-    texts = [r.text for r in rows.orderBy("date", "transaction_id", "ordinal").toLocalIterator()]
-    return head + (",".join(texts) if form == "json" else "".join(texts)) + tail
+    yield head
+    first = True
+    for r in rows.orderBy("date", "transaction_id", "ordinal").toLocalIterator():
+        if form == "json" and not first:
+            yield ",\n"
+        first = False
+        yield r.text
+    yield tail
+
+
+def export_text(transactions: DataFrame, form: str) -> str:
+    """The whole export as one text."""
+    return "".join(export_parts(transactions, form))
 
 
 def export_files(transactions: DataFrame, form: str, path: str) -> None:
-    """The export as text files below path, whose names are in order; head and tail are in files of their own."""
+    """The export as text files below path (head, rows and tail, in this order), whose names are in order. Together, line by
+    line, they are the export."""
     head, rows, tail = EXPORTERS[form](transactions)
     spark = transactions.sparkSession
-    body = rows.orderBy("date", "transaction_id", "ordinal")
-    if form == "json":  # a file of one object a line
-        json_lines(transactions).orderBy("date", "transaction_id").select("line").write.text(f"{path}/rows")
-        return
-    spark.createDataFrame([(head.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/head")
-    body.select(F.regexp_replace("text", "\n$", "").alias("value")).write.text(f"{path}/rows")
-    if tail:
-        spark.createDataFrame([(tail,)], "value string").coalesce(1).write.text(f"{path}/tail")
+    order = ("date", "transaction_id", "ordinal")
+    value = F.regexp_replace("text", r"\n\z", "")
+    if form == "json":  # all but the last end in a comma
+        last = rows.agg(F.max(F.struct(*order)).alias("last"))
+        rows = rows.crossJoin(F.broadcast(last))  # one row
+        value = F.when(F.struct(*order) == F.col("last"), value).otherwise(F.concat(value, F.lit(",")))
+    for name, text in (("head", head.removesuffix("\n")), ("tail", tail.removeprefix("\n"))):
+        if text:
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    rows.orderBy(*order).select(value.alias("value")).write.text(f"{path}/rows")
