@@ -6,12 +6,12 @@
     manifest.json   the commits that count; replaced last, at once
 
 A commit writes its directories first and then the manifest, so a command that dies half way leaves nothing behind. One
-writer at a time is assumed.
+writer at a time is assumed. All goes through Spark's file systems: on a cluster a workspace lies in a folder that driver and
+executors share, named with its scheme.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import uuid
@@ -60,43 +60,88 @@ class Imported:
     duplicate: bool = False
 
 
+class Folder:
+    """Small files of a folder on any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        if "://" not in path and not path.startswith("file:"):
+            if not spark.sparkContext.master.startswith("local"):
+                raise LedgerError("on a cluster, a workspace's path needs the scheme of a folder that driver and executors share")
+            path = f"file://{os.path.abspath(path)}"
+        self.spark, self.uri, self.jvm = spark, path.rstrip("/"), spark._jvm
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.files = self._path(self.uri).getFileSystem(self.conf)
+
+    def _path(self, uri: str):
+        return self.jvm.org.apache.hadoop.fs.Path(uri)
+
+    def at(self, name: str) -> str:
+        return f"{self.uri}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return self.files.exists(self._path(self.at(name)))
+
+    def make(self, name: str) -> None:
+        self.files.mkdirs(self._path(self.at(name)))
+
+    def read(self, name: str) -> str:
+        stream = self.files.open(self._path(self.at(name)))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self.files.create(self._path(self.at(name)), True)
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Writes the file anew, at once: it is there as it was, or as it is to be."""
+        temporary = f"{name}.{uuid.uuid4().hex}"
+        self.write(temporary, text)
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        whole = self._path(self.uri).toUri()
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole, self.conf).rename(self._path(self.at(temporary)), self._path(self.at(name)), options)
+
+    def copy_from(self, uri: str, name: str) -> None:
+        source = self._path(uri)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(self.conf), source, self.files, self._path(self.at(name)), False, True, self.conf)
+
+
 class Workspace:
-    """A workspace in a local or shared directory."""
+    """A workspace in a folder: a local path, or one with a scheme that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        if not os.path.exists(f"{path}/manifest.json"):
+        self.spark, self.path, self.folder = spark, path, Folder(spark, path)
+        if not self.folder.exists("manifest.json"):
             raise LedgerError(f"no workspace at {path} (run init)")
 
     @classmethod
     def init(cls, spark: SparkSession, path: str) -> Workspace:
         """Creates the workspace if there is none."""
+        folder = Folder(spark, path)
         for d in ("artifacts", "reports"):
-            os.makedirs(f"{path}/{d}", exist_ok=True)
-        if not os.path.exists(f"{path}/config.json"):
-            with open(f"{path}/config.json", "w", encoding="utf-8") as f:
-                json.dump({"version": 1, "default_commodity": "INR", "telemetry": False}, f)
-        if not os.path.exists(f"{path}/manifest.json"):
-            cls._put(path, {"schema_version": SCHEMA_VERSION, **{name: [] for name in _SCHEMAS}})
+            folder.make(d)
+        if not folder.exists("config.json"):
+            folder.replace("config.json", json.dumps({"version": 1, "default_commodity": "INR", "telemetry": False}))
+        if not folder.exists("manifest.json"):
+            folder.replace("manifest.json", json.dumps({"schema_version": SCHEMA_VERSION, **{name: [] for name in _SCHEMAS}}, indent=1))
         return cls(spark, path)
 
-    @staticmethod
-    def _put(path: str, manifest: dict) -> None:
-        temporary = f"{path}/manifest.{uuid.uuid4().hex}"
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(manifest, f, indent=1)
-        os.replace(temporary, f"{path}/manifest.json")
-
     @property
     def manifest(self) -> dict:
-        with open(f"{self.path}/manifest.json", encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self.folder.read("manifest.json"))
 
     def schema_version(self) -> int:
         return int(self.manifest.get("schema_version", 0))
 
     def table(self, name: str) -> DataFrame:
-        parts = [f"file://{os.path.abspath(self.path)}/{p}" for p in self.manifest[name]]
+        parts = [self.folder.at(p) for p in self.manifest[name]]
         empty = self.spark.createDataFrame([], _SCHEMAS[name])
         return self.spark.read.schema(empty.schema).parquet(*parts) if parts else empty
 
@@ -123,19 +168,17 @@ class Workspace:
         sealed = events.seal(payloads, last.seq, last.content_hash)
         new = {"log": self.spark.createDataFrame(sealed, T.EVENT)} | (tables or {})
         number = f"{last.seq + len(sealed):012d}-{uuid.uuid4().hex[:8]}"
-        root = f"file://{os.path.abspath(self.path)}"
         for name, rows in new.items():
-            rows.write.parquet(f"{root}/{name}/{number}")
+            rows.write.parquet(self.folder.at(f"{name}/{number}"))
             manifest[name] = [*manifest[name], f"{name}/{number}"]
         self._project(manifest, number)
-        self._put(self.path, manifest)
+        self.folder.replace("manifest.json", json.dumps(manifest, indent=1))
         return (sealed[-1][0], sealed[-1][5]) if sealed else (last.seq, last.content_hash)
 
     def _project(self, manifest: dict, number: str) -> None:
-        root = f"file://{os.path.abspath(self.path)}"
-        log = self.spark.read.schema(self.spark.createDataFrame([], T.EVENT).schema).parquet(*(f"{root}/{p}" for p in manifest["log"]))
+        log = self.spark.read.schema(self.spark.createDataFrame([], T.EVENT).schema).parquet(*(self.folder.at(p) for p in manifest["log"]))
         for name, rows in (("transactions", events.replay(log)), ("accounts", events.accounts(log))):
-            rows.write.parquet(f"{root}/{name}/{number}")
+            rows.write.parquet(self.folder.at(f"{name}/{number}"))
             manifest[name] = [f"{name}/{number}"]
 
     def add_account(self, account_id: str, kind: str, commodity: str = "INR", name: str | None = None) -> tuple[int, str]:
@@ -187,16 +230,16 @@ class Workspace:
         if layout is None:
             raise LedgerError(f"unknown adapter '{adapter}'")
         bank = self._valid(account, commodity)
-        if os.path.getsize(path) > statements.MAX_BYTES:
+        uri = path if "://" in path else f"file://{os.path.abspath(path)}"
+        file = self.spark.read.format("binaryFile").load(uri).select("length", F.sha2("content", 256).alias("sha"))
+        size = file.select("length").first()
+        if size.length > statements.MAX_BYTES:
             raise LedgerError(f"file exceeds {statements.MAX_BYTES} bytes")
-        with open(path, "rb") as f:
-            content = f.read()
-        sha = hashlib.sha256(content).hexdigest()
-        with open(f"{self.path}/artifacts/{layout.id}-{sha[:16]}.bin", "wb") as f:
-            f.write(content)
+        sha = file.first().sha
+        self.folder.copy_from(uri, f"artifacts/{layout.id}-{sha[:16]}.bin")
         batch = Row(id=events.uuid7(), adapter=layout.id, account_id=bank.account, source_path=path, source_sha256=sha)
         options = convert.Options(bank.account, self._valid(expense, commodity).account, self._valid(income, commodity).account, bank.commodity, batch.id)
-        raw = statements.read(self.spark, f"file://{os.path.abspath(path)}", layout)
+        raw = statements.read(self.spark, uri, layout)
         failed = raw.where("schema_error is not null").first()
         if failed:
             raise LedgerError(failed.schema_error)
@@ -287,9 +330,7 @@ class Workspace:
         return ok, f"{self.path}/reports/{name}"
 
     def _report(self, name: str, text: str) -> None:
-        os.makedirs(f"{self.path}/reports", exist_ok=True)
-        with open(f"{self.path}/reports/{name}", "w", encoding="utf-8") as f:
-            f.write(text)
+        self.folder.write(f"reports/{name}", text)
 
     def verify_chain(self) -> None:
         wrong = events.broken(self.table("log")).orderBy("seq").first()
@@ -316,7 +357,7 @@ class Workspace:
         manifest = self.manifest
         if manifest["log"]:
             self._project(manifest, f"rebuilt-{uuid.uuid4().hex[:8]}")
-            self._put(self.path, manifest)
+            self.folder.replace("manifest.json", json.dumps(manifest, indent=1))
         return ledger.verify(self.transactions()).first()
 
     def why(self, name: str) -> list[Row]:
@@ -341,5 +382,5 @@ class Workspace:
             raise LedgerError(f"unknown format '{form}' (json|beancount|csv)")
         guard_path(out)
         with open(out, "w", encoding="utf-8", newline="") as f:
-            f.write(export.export_text(self.transactions(), form))
+            f.writelines(export.export_parts(self.transactions(), form))
         return ledger.active(self.transactions()).count()
