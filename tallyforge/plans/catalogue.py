@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import convert, dedupe, events, export, importing, ledger, reconcile, rules
+from . import files, workspace
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +24,10 @@ RULES = [
     rules.Rule("fives", "income:fives", 10, payee_regex="5$", confidence=85),
     rules.Rule("also-fives", "income:others", 10, payee_regex="55$"),
     rules.Rule("ends-in-seven", "income:sevens", 5, payee_regex="7$", min_amount="1,000", max_amount="150000.50"),
+    rules.Rule("named", "income:named", 4, payee_regex=r"(?P<who>Customer)#\d*1$"),
+    rules.Rule("letters", "income:letters", 3, payee_regex=r"^\p{L}+#(?i)[[:digit:]]*(?:3|X)$"),
     rules.Rule("broken", "none", 99, payee_regex="("),
+    rules.Rule("reference", "none", 98, payee_regex=r"(C).*\1"),
     rules.Rule("look-around", "none", 98, payee_regex="(?=C)"),
     rules.Rule("no-number", "none", 97, min_amount="many"),
     rules.Rule("empty", "none", 96),
@@ -104,13 +110,15 @@ def _near(days: int) -> str:
 _EXACT = """SELECT id AS duplicate_id, survivor AS survivor_id, 'exact' AS strategy, CAST(100 AS INTEGER) AS confidence,
   'same date+account+amount+commodity+merchant+source_refs as '||survivor AS explanation FROM x WHERE rank>1"""
 
-_R = f"""{_T}, m AS (
+_R = rf"""{_T}, m AS (
   SELECT *, abs(amount) AS size, list_filter([
     CASE WHEN regexp_matches(narration,'(?i)customer') AND abs(amount)>=300000 THEN {{'at':0,'p':20,'id':'urgent-big','c':'income:large','f':80}} END,
     CASE WHEN regexp_matches(other,'^expenses:') AND abs(amount)<=200000 THEN {{'at':1,'p':15,'id':'refund','c':'expenses:returns','f':80}} END,
     CASE WHEN regexp_matches(payee,'5$') THEN {{'at':2,'p':10,'id':'fives','c':'income:fives','f':85}} END,
     CASE WHEN regexp_matches(payee,'55$') THEN {{'at':3,'p':10,'id':'also-fives','c':'income:others','f':80}} END,
-    CASE WHEN regexp_matches(payee,'7$') AND abs(amount)>=1000 AND abs(amount)<=150000.50 THEN {{'at':4,'p':5,'id':'ends-in-seven','c':'income:sevens','f':80}} END], lambda h: h IS NOT NULL) AS hits FROM t),
+    CASE WHEN regexp_matches(payee,'7$') AND abs(amount)>=1000 AND abs(amount)<=150000.50 THEN {{'at':4,'p':5,'id':'ends-in-seven','c':'income:sevens','f':80}} END,
+    CASE WHEN regexp_matches(payee,'(?P<who>Customer)#\d*1$') THEN {{'at':5,'p':4,'id':'named','c':'income:named','f':80}} END,
+    CASE WHEN regexp_matches(payee,'^\p{{L}}+#(?i)[[:digit:]]*(?:3|X)$') THEN {{'at':6,'p':3,'id':'letters','c':'income:letters','f':80}} END], lambda h: h IS NOT NULL) AS hits FROM t),
 v AS (SELECT *, list_filter(hits, lambda h: h.p=list_max(list_transform(hits, lambda y: y.p))) AS top FROM m),
 o AS (SELECT *, CASE WHEN dup IS NOT NULL THEN 'duplicate' WHEN tags[1]='category:income:urgent' THEN 'skipped' WHEN len(hits)=0 THEN 'unmatched'
   WHEN len(list_distinct(list_transform(top, lambda h: h.c)))>1 THEN 'conflict' ELSE 'applied' END AS outcome FROM v)"""
@@ -126,6 +134,25 @@ _JSON_ROW = """'{"id":"'||id||'","date":"'||date||'","payee":"'||payee||'","narr
 _BEAN = "list_aggregate(list_transform(string_split({0},':'), lambda s: upper(s[1])||s[2:]),'string_agg',':')"
 
 
+def _from_files(spark: SparkSession) -> list[rules.Rule]:
+    """RULES, half of them by way of YAML and half by way of JSON."""
+    listed = [{k: v for k, v in vars(r).items() if v is not None} | {"note": "not a field"} for r in RULES]
+    folder = tempfile.mkdtemp()  # the driver writes and reads it
+    for name, part in (("rules.yaml", listed[:4]), ("rules.json", listed[4:])):
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+            json.dump({"rules": part}, f)  # which is YAML as well
+    return rules.load_file(f"{folder}/rules.yaml") + rules.load_file(f"{folder}/rules.json")
+
+
+def _wanted_links(spark: SparkSession, d: str) -> DataFrame:
+    """For each event a link, of which some may not be made."""
+    e = V.table(spark, d, "events").select("event_id")
+    own = S.uuid8(F.concat(F.lit("v1|events|"), F.col("event_id").cast("string")))
+    kind = F.col("event_id") % 4
+    target = F.when(kind == 0, own).when(kind == 1, "nothing").otherwise(S.uuid8(F.lit("v1|events|1")))
+    return e.select(F.when(kind == 3, F.concat(F.lit("none-"), F.col("event_id").cast("string"))).otherwise(own).alias("duplicate_id"), target.alias("survivor_id"))
+
+
 def _statement_rows(spark: SparkSession, d: str) -> DataFrame:
     return convert.statement_rows(V.converted(spark, d), "stmt", V.STATEMENT)
 
@@ -157,8 +184,7 @@ def _replayed_sql(seq: int | None) -> str:
 
 
 def _dates(spark: SparkSession, d: str) -> DataFrame:
-    s = V.statement(spark, d)
-    return s.select("row_number", "date_raw", S.parse_date(F.col("date_raw")).alias("date"))
+    return S.with_date(V.statement(spark, d).select("row_number", "date_raw"), "date_raw", "date")
 
 
 def _why(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +231,7 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
     ),
     "ledger_hash_portable": (
         lambda s, d: ledger.ledger_hash(V.transactions(s, d), portable=True),
-        _TP + f", h AS (SELECT date, id, sha256({_JSON_ROW}) AS h FROM t), y AS (SELECT date, sha256(string_agg(h,'' ORDER BY id)) AS h FROM h GROUP BY date) SELECT sha256(string_agg(h,'' ORDER BY date)) AS ledger_hash FROM y",
+        _TP + f", h AS (SELECT date, id, sha256({_JSON_ROW}) AS h FROM t), z AS (SELECT date, substr(id,1,4) AS head, sha256(string_agg(h,'' ORDER BY id)) AS h FROM h GROUP BY ALL), y AS (SELECT date, sha256(string_agg(h,'' ORDER BY head)) AS h FROM z GROUP BY date) SELECT sha256(string_agg(h,'' ORDER BY date)) AS ledger_hash FROM y",
     ),
     "canonical_order": (
         lambda s, d: ledger.canonical_order(V.transactions(s, d)).select("id", "date", "payee"),
@@ -216,7 +242,7 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         _SR + "SELECT CAST(n AS INTEGER) AS row_number, date_raw, date FROM c",
     ),
     "parse_amount": (
-        lambda s, d: V.statement(s, d).select("row_number", S.parse_amount(F.col("amount_raw")).alias("amount")),
+        lambda s, d: V.statement(s, d).select("row_number", S.amount_digits(F.col("amount_raw")).alias("digits")).select("row_number", S.amount_of(F.col("digits")).alias("amount")),
         _SR + "SELECT CAST(n AS INTEGER) AS row_number, amount FROM c",
     ),
     "canonical_amount": (
@@ -224,7 +250,7 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         f"SELECT o_orderkey, {_canonical('CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)')} AS amount FROM orders",
     ),
     "normalize_merchant_docs": (
-        lambda s, d: V.table(s, d, "documents").select("doc_id", S.merchant_key(F.col("text")).alias("merchant_key"), S.merchant_name(F.col("text")).alias("merchant_name")),
+        lambda s, d: S.with_merchant(V.table(s, d, "documents").select("doc_id", "text"), "text", "merchant_key", "merchant_name").drop("text"),
         f"SELECT doc_id, {_key('text')} AS merchant_key, {_name('text')} AS merchant_name FROM documents",
     ),
     "normalize_merchant_parts": (
@@ -376,6 +402,13 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         lambda s, d: export.json_lines(V.transactions(s, d)).select("transaction_id", "line"),
         _TP + """SELECT id AS transaction_id, '{"id":"'||id||'","date":"'||date||'","payee":"'||payee||'","narration":"'||narration||'","postings":[{"account":"'||account||'","amount":"'||amount||'","commodity":"'||commodity||'","memo":"order:'||k||'"},{"account":"'||other||'","amount":"'||(-amount)||'","commodity":"'||commodity||'","memo":null}],"import_batch_id":'||coalesce('"'||batch||'"','null')||',"duplicate_of":null,"tags":['||list_aggregate(list_transform(tags, lambda x: '"'||x||'"'),'string_agg',',')||'],"row_fingerprint":"v1|orders|'||k||'"}' AS line FROM t WHERE dup IS NULL""",
     ),
+    "export_json_entries": (
+        lambda s, d: export.json_entries(V.transactions(s, d)).select("transaction_id", "entry"),
+        _TP + """, e AS (SELECT *, chr(10) AS n FROM t WHERE dup IS NULL) SELECT id AS transaction_id, '    {'||n||'      "id": "'||id||'",'||n||'      "date": "'||date||'",'||n||'      "payee": "'||payee||'",'||n||'      "narration": "'||narration||'",'||n||'      "postings": ['||n
+          ||'        {'||n||'          "account": "'||account||'",'||n||'          "amount": "'||amount||'",'||n||'          "commodity": "'||commodity||'",'||n||'          "memo": "order:'||k||'"'||n||'        },'||n
+          ||'        {'||n||'          "account": "'||other||'",'||n||'          "amount": "'||(-amount)||'",'||n||'          "commodity": "'||commodity||'",'||n||'          "memo": null'||n||'        }'||n||'      ],'||n
+          ||'      "import_batch_id": '||coalesce('"'||batch||'"','null')||','||n||'      "duplicate_of": null,'||n||'      "tags": ['||n||'        '||array_to_string(list_transform(tags, lambda x: '"'||x||'"'),','||chr(10)||'        ')||n||'      ],'||n||'      "row_fingerprint": "v1|orders|'||k||'"'||n||'    }' AS entry FROM e""",
+    ),
     "export_bean_directives": (
         lambda s, d: export.bean_directives(V.transactions(s, d)).select(F.col("section").cast("int").alias("section"), "name", "line"),
         _TP + f"SELECT CAST(1 AS INTEGER) AS section, commodity AS name, min(date)||' commodity '||commodity AS line FROM p WHERE dup IS NULL GROUP BY commodity UNION ALL SELECT 2, {_BEAN.format('account')}, min(date)||' open '||{_BEAN.format('account')} FROM p WHERE dup IS NULL GROUP BY account",
@@ -389,6 +422,20 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         _TP + "SELECT commodity AS operating_currency FROM p WHERE dup IS NULL GROUP BY commodity ORDER BY count(*) DESC, min(date), commodity LIMIT 1",
     ),
     "exported_count": (lambda s, d: ledger.active(V.transactions(s, d)).agg(F.count("*").alias("transactions")), _TP + "SELECT count(*) AS transactions FROM t WHERE dup IS NULL"),
+    "rules_file": (
+        lambda s, d: rules.applied(rules.evaluate(V.transactions(s, d), _from_files(s))).select("transaction_id", "category", "rule_id", F.col("confidence").cast("int").alias("confidence")),
+        f"WITH {_R} SELECT id AS transaction_id, top[1].c AS category, top[1].id AS rule_id, CAST(top[1].f AS INTEGER) AS confidence FROM o WHERE outcome='applied'",
+    ),
+    "error_row_fallback": (
+        lambda s, d: convert.numbered(V.table(s, d, "orders").select((F.col("o_orderkey") % 7).cast("string").alias("batch_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("row_number"), F.concat(F.lit("unreadable "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("error"))),
+        "SELECT CAST(o_orderkey%7 AS VARCHAR) AS batch_id, o_orderkey AS row_number, 'unreadable '||lpad(CAST(o_orderkey AS VARCHAR),12,'0') AS error FROM orders WHERE o_orderkey%3=0 UNION ALL SELECT CAST(o_orderkey%7 AS VARCHAR), -row_number() OVER (PARTITION BY o_orderkey%7 ORDER BY o_orderkey), 'unreadable '||lpad(CAST(o_orderkey AS VARCHAR),12,'0') FROM orders WHERE o_orderkey%3<>0",
+    ),
+    "link_checks": (
+        lambda s, d: dedupe.invalid(_wanted_links(s, d), V.activity(s, d)),
+        f"""WITH w AS (SELECT event_id, {_uuid8("'v1|events|'||event_id")} AS a, CASE event_id%4 WHEN 0 THEN {_uuid8("'v1|events|'||event_id")} WHEN 1 THEN 'nothing' ELSE {_uuid8("'v1|events|1'")} END AS b FROM events)
+        SELECT CASE WHEN event_id%4=3 THEN 'none-'||event_id ELSE a END AS duplicate_id, b AS survivor_id,
+          CASE event_id%4 WHEN 0 THEN 'a transaction can''t repeat itself' WHEN 3 THEN 'no such duplicate' WHEN 1 THEN 'no such survivor' ELSE 'already linked' END AS reason FROM w WHERE event_id%4<>2 OR event_id%40=0""",
+    ),
     "eval_dedupe": (
         lambda s, d: dedupe.scores(V.table(s, d, "events").select((F.col("event_id") % 5 < 2).alias("expected"), (F.col("event_id") % 3 == 0).alias("found"))),
         "WITH c AS (SELECT event_id%5<2 AS e, event_id%3=0 AS f FROM events), n AS (SELECT count(*) FILTER (e AND f) AS tp, count(*) FILTER (f AND NOT e) AS fp, count(*) FILTER (e AND NOT f) AS fn FROM c) SELECT tp, fp, fn, tp/(tp+fp) AS precision, tp/(tp+fn) AS recall FROM n",
@@ -398,3 +445,4 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         "WITH c AS (SELECT CASE WHEN event_id%5<3 THEN event_id%2 END AS e, CASE WHEN event_id%3>0 THEN event_id%4%2 END AS f FROM events), n AS (SELECT count(*) FILTER (f IS NOT NULL AND f IS NOT DISTINCT FROM e) AS tp, count(*) FILTER (f IS NOT NULL AND f IS DISTINCT FROM e) AS fp, count(*) FILTER (f IS NULL AND e IS NOT NULL) AS fn FROM c) SELECT tp, fp, fn, tp/(tp+fp) AS precision, tp/(tp+fn) AS recall FROM n",
     ),
 }
+CATALOGUE |= files.QUERIES | workspace.QUERIES
