@@ -536,7 +536,7 @@ def couples(rare: DataFrame, nodes: DataFrame, least: float, prints: DataFrame |
     return by.mapInArrow(tidy(_couples(least, prints is not None)), "a long, b long").distinct()
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 7) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 3) -> DataFrame:
     """docs without near copies: of each group that similar texts connect, the row with the smallest doc_id stays.
 
     A pair is linked if its sets of `width`-word shingles have that similarity or more. Fingerprints of the texts'
