@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id.
 
     Copies are linked if their shingles of five words have a similarity of 0.8 or more; fingerprints of the different words
-    of a text that differ in at most seven bits tell which pairs to look at first, and shared shingles which ones after them.
+    of a text that differ in at most three bits tell which pairs to look at first, and shared shingles which ones after them.
     """
     return simhash.keep_one(docs, width=5, similarity=0.8)
 
