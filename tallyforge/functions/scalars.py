@@ -26,13 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """rows whose columns are computed before any filter on them, and so once.
+def staged(rows: DataFrame) -> DataFrame:
+    """rows whose columns are computed once, and compiled apart from what comes after.
 
     A filter on a computed column is pushed below its projection, which computes the column again. It isn't pushed through a
-    projection that isn't deterministic, which the number of the partition makes of this one.
+    projection that isn't deterministic, which the number of the partition makes of this one. And projections over each other
+    become one generated method, which the virtual machine interprets if it is too long. A higher-order function isn't in
+    generated code, so a method ends here.
     """
-    return rows.withColumn("_partition", F.spark_partition_id()).where("_partition >= 0").drop("_partition")
+    number = F.element_at(F.transform(F.array(F.spark_partition_id()), lambda n: n), 1)
+    return rows.withColumn("_partition", number).where("_partition >= 0").drop("_partition")
 
 
 def trim_all(text: Column) -> Column:
@@ -49,43 +52,41 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.make_date(year, month, F.when(day.between(1, last), day))
 
 
-def _date_parts(x: Column) -> Column:
-    """Of a trimmed text that looks like a date: separator, three numbers (the second may be a month's name), digits of
-    the first and the last, and whether there is a name."""
-    p = F.split(x, "[-/ ]")
-    at = lambda k: F.get(p, F.lit(k))
+def _parts(pieces: Column) -> dict[str, Column]:
+    """The three numbers, of which the second may be a month's name, whether it is, and whether the outer ones are short."""
+    at = lambda k: F.get(pieces, F.lit(k))
     place = F.instr(F.lit(MONTHS), F.lower(at(1)))
-    month = F.when(place % 3 == 1, ((place + 2) / 3).cast("int"))
     named = F.length(at(1)) == 3
-    parts = F.struct(
-        F.substring(x, F.length(at(0)) + 1, F.lit(1)).alias("sep"),
-        at(0).try_cast("int").alias("a"),
-        F.when(named, month).otherwise(at(1).try_cast("int")).alias("b"),
-        at(2).try_cast("int").alias("c"),
-        F.length(at(0)).alias("la"),
-        F.length(at(2)).alias("lc"),
-        named.alias("named"),
-    )
-    return F.when(x.rlike(DATE_LIKE), parts)
+    return {
+        "a": at(0).try_cast("int"),
+        "b": F.when(named, F.when(place % 3 == 1, ((place + 2) / 3).cast("int"))).otherwise(at(1).try_cast("int")),
+        "c": at(2).try_cast("int"),
+        "named": named,
+        "short_a": F.length(at(0)) <= 2,
+        "short_c": F.length(at(2)) <= 2,
+    }
 
 
-def _date_of(p: Column) -> Column:
+def _date_of(x: Column, p: Callable[[str], Column]) -> Column:
     """The first layout that fits, in this order: with dashes year or day first, with slashes day, year or month first."""
-    year_first = F.when(p["lc"] <= 2, _day(p["a"], p["b"], p["c"]))
-    short = p["la"] <= 2
-    day_first = F.when(short, _day(p["c"], p["b"], p["a"]))
-    month_first = F.when(short, _day(p["c"], p["a"], p["b"]))
-    return F.when(p["named"], _day(p["c"], p["b"], p["a"])).when(p["sep"] == "-", F.coalesce(year_first, day_first)).otherwise(F.coalesce(day_first, year_first, month_first))
+    year_first = F.when(p("short_c") & ~p("named"), _day(p("a"), p("b"), p("c")))
+    day_first = F.when(p("short_a"), _day(p("c"), p("b"), p("a")))
+    month_first = F.when(p("short_a"), _day(p("c"), p("a"), p("b")))
+    found = F.when(x.contains("/"), F.coalesce(day_first, year_first, month_first)).otherwise(F.coalesce(year_first, day_first))
+    return F.when(x.rlike(DATE_LIKE), found)
 
 
 def with_date(rows: DataFrame, text: str, name: str) -> DataFrame:
     """rows with `name`, the date of their column `text`, or null."""
-    return rows.withColumn("_x", trim_all(F.col(text))).withColumn("_p", _date_parts(F.col("_x"))).withColumn(name, _date_of(F.col("_p"))).drop("_x", "_p")
+    cut = rows.withColumn("_x", trim_all(F.col(text))).withColumn("_p", F.split("_x", "[-/ ]"))
+    cut = cut.withColumns({f"_{k}": c for k, c in _parts(F.col("_p")).items()})
+    return cut.withColumn(name, _date_of(F.col("_x"), lambda k: F.col(f"_{k}"))).select(*rows.columns, name)
 
 
 def parse_date(text: Column) -> Column:
     """A date, or null. Day before month where both fit."""
-    return let(trim_all(text), lambda x: let(_date_parts(x), _date_of))
+    held = lambda x, p: let(F.struct(*(c.alias(k) for k, c in _parts(p).items())), lambda s: _date_of(x, lambda k: s[k]))
+    return let(trim_all(text), lambda x: let(F.split(x, "[-/ ]"), lambda p: held(x, p)))
 
 
 def amount_digits(text: Column) -> Column:

@@ -32,7 +32,7 @@ def convert(raw: DataFrame, adapter: str, options: Options) -> DataFrame:
     The checks are made in order: date, amount, zero, commodity. A row with a parse error isn't checked.
     """
     given = S.trim_all(F.col("currency_raw"))
-    parsed = S.with_merchant(S.with_date(raw, "date_raw", "date"), "description_raw", "narration")
+    parsed = S.staged(S.with_merchant(S.staged(S.with_date(raw, "date_raw", "date")), "description_raw", "narration"))
     parsed = parsed.withColumns({"_digits": S.amount_digits(F.col("amount_raw")), "_given": given})
     code = F.when(F.coalesce("_given", F.lit("")) == "", F.lit(options.commodity)).otherwise(S.commodity(F.col("_given")))
     parsed = parsed.withColumns({"amount": S.amount_of(F.col("_digits")), "amount_text": S.text_of_digits(F.col("_digits")), "commodity": code}).drop("_digits", "_given")
@@ -45,7 +45,7 @@ def convert(raw: DataFrame, adapter: str, options: Options) -> DataFrame:
             F.when(F.col("commodity").isNull(), F.concat(F.lit("invalid commodity: "), F.col("currency_raw"))),
         ),
     )
-    checked = S.once(parsed.withColumn("error", error))
+    checked = S.staged(parsed.withColumn("error", error))
     good = F.col("error").isNull() & F.col("parse_error").isNull()
     mark = S.fingerprint(F.lit(adapter), F.lit(options.bank), F.col("date"), F.col("amount_text"), F.col("commodity"), F.col("source_refs"), F.col("narration"))
     offset = F.when(F.col("amount") < 0, F.lit(options.expense)).otherwise(F.lit(options.income))
@@ -53,7 +53,7 @@ def convert(raw: DataFrame, adapter: str, options: Options) -> DataFrame:
         S.posting(F.lit(options.bank), F.col("amount"), F.col("amount_text"), F.col("commodity"), F.array_join("source_refs", ",")),
         S.posting(offset, -F.col("amount"), S.negated_text(F.col("amount_text")), F.col("commodity")),
     )
-    done = checked.withColumn("row_fingerprint", F.when(good, mark)).withColumn("_hash", F.sha2("row_fingerprint", 256))
+    done = S.staged(checked.withColumn("row_fingerprint", F.when(good, mark)).withColumn("_hash", F.sha2("row_fingerprint", 256)))
     return done.withColumns(
         {
             "id": S.uuid8_of(F.col("_hash")),
