@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.csv as arrow_csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ _RAW = pa.schema(
 def _records(text: str, max_rows: int) -> tuple[list[str], list[list[str]], dict[int, str]]:
     """Header, records that aren't empty, and errors of the reader by place; an unreadable record has no fields."""
     reader = csv.reader(io.StringIO(text, newline=""))
-    head = next(reader, [])
+    head = next(filter(None, reader), [])  # lines without anything are no records
     records: list[list[str]] = []
     errors: dict[int, str] = {}
     while True:
@@ -115,6 +116,24 @@ def _records(text: str, max_rows: int) -> tuple[list[str], list[list[str]], dict
     return head, records, errors
 
 
+def _plain_columns(content: bytes) -> list[pa.Array] | None:
+    """The columns of a file without quotes all of whose records have as many fields, header first; null for other files."""
+    if b'"' in content or content.count(b"\r") != content.count(b"\r\n"):
+        return None
+    first = content.lstrip(b"\r\n").partition(b"\n")[0]
+    types = {f"f{k}": pa.string() for k in range(first.count(b",") + 1)}
+    try:
+        table = arrow_csv.read_csv(
+            pa.BufferReader(content),
+            arrow_csv.ReadOptions(autogenerate_column_names=True, use_threads=False),
+            arrow_csv.ParseOptions(quote_char=False),
+            arrow_csv.ConvertOptions(column_types=types, strings_can_be_null=False),
+        )
+    except pa.ArrowInvalid:
+        return None
+    return [c.combine_chunks() for c in table.columns]
+
+
 def _place(head: list[str], required: tuple[str, ...]) -> dict[str, int]:
     """Where each column is, by its name in lower case; the first of equal ones."""
     names = [h.strip().encode("utf-8", "replace").decode() for h in head]
@@ -127,23 +146,20 @@ def _place(head: list[str], required: tuple[str, ...]) -> dict[str, int]:
     return place
 
 
-def _by_columns(columns: Columns, records: list[list[str]], place: dict[str, int]) -> tuple[list[pa.Array], pa.Array]:
-    """The five values of all records, and what is wrong with each."""
+def _by_columns(columns: Columns, n: int, column: Callable[[int], pa.Array], place: dict[str, int]) -> tuple[list[pa.Array], pa.Array]:
+    """The five values of n records, and what is wrong with each."""
 
     def values(name: str | None) -> pa.Array:
         k = place.get(name.lower()) if name else None
-        if k is None:
-            return pa.nulls(len(records), pa.string())
-        return pc.utf8_trim_whitespace(pa.array([r[k] if k < len(r) else None for r in records], pa.string()))
+        return pa.nulls(n, pa.string()) if k is None else pc.utf8_trim_whitespace(column(k))
 
-    wrong = pa.nulls(len(records), pa.string())
+    wrong = pa.nulls(n, pa.string())
     asked = (columns.amount, columns.date, columns.description) if columns.amount_needed else (columns.date, columns.amount, columns.description)
     given = {name: values(name) for name in asked if name}  # in this order fields are missed
     balance = values(columns.balance)
     if columns.amount is None:
-        paid, got = (pc.if_else(pc.equal(x, "-"), "", pc.fill_null(x, "")) for x in (values(columns.paid), values(columns.got)))
-        # what a tool writes where nothing is, is nothing
-        paid, got = (pc.utf8_trim_whitespace(x) for x in (paid, got))
+        paid, got = (pc.fill_null(values(name), "") for name in (columns.paid, columns.got))
+        paid, got = (pc.if_else(pc.equal(x, "-"), "", x) for x in (paid, got))
         amount = pc.if_else(pc.equal(got, ""), pc.if_else(pc.equal(paid, ""), "", pc.binary_join_element_wise("-", paid, "")), got)
     else:
         amount = given[columns.amount]
@@ -153,7 +169,7 @@ def _by_columns(columns: Columns, records: list[list[str]], place: dict[str, int
             wrong = pc.coalesce(wrong, pc.if_else(pc.equal(found, ""), "missing amount", pa.scalar(None, pa.string())))
     if columns.amount is None and columns.amount_needed:
         wrong = pc.coalesce(wrong, pc.if_else(pc.equal(amount, ""), "missing amount", pa.scalar(None, pa.string())))
-    currency = pa.array([columns.code] * len(records), pa.string()) if columns.code else values(columns.currency)
+    currency = pa.array([columns.code] * n, pa.string()) if columns.code else values(columns.currency)
     return [given[columns.date], amount, currency, given[columns.description], balance], wrong
 
 
@@ -185,20 +201,31 @@ def parse_batch(layout: Adapter, content: bytes, max_bytes: int = MAX_BYTES, max
     if len(content) > max_bytes:
         raise SchemaError(f"file exceeds {max_bytes} bytes")
     csv.field_size_limit(max(csv.field_size_limit(), max_bytes))
-    text = content.decode("utf-8-sig", "surrogateescape")
-    head, records, errors = _records(text, max_rows)
-    place = _place(head, layout.required)
-    number = np.arange(2, len(records) + 2, dtype=np.int32)
-    unread = {k: f"row {number[k]}: {e}" for k, e in errors.items()}
-    if not text.isascii() and any("\udc80" <= c <= "\udcff" for c in text):  # bytes that no text has
-        for k, r in enumerate(records):
-            if any("\udc80" <= c <= "\udcff" for v in r for c in v):
-                unread[k], records[k] = f"row {number[k]}: invalid UTF-8", []
-    five, wrong = _by_columns(layout.columns, records, place) if layout.columns else _by_function(layout, records, place)
+    unread: dict[int, str] = {}
+    plain = _plain_columns(content) if layout.columns else None
+    if plain is not None:
+        n = len(plain[0]) - 1
+        if n > max_rows:
+            raise SchemaError(f"too many data rows (max {max_rows})")
+        number = np.arange(2, n + 2, dtype=np.int32)
+        five, wrong = _by_columns(layout.columns, n, lambda k: plain[k].slice(1), _place([c[0].as_py() for c in plain], layout.required))
+    else:
+        text = content.decode("utf-8-sig", "surrogateescape")
+        head, records, errors = _records(text, max_rows)
+        n = len(records)
+        place = _place(head, layout.required)
+        number = np.arange(2, n + 2, dtype=np.int32)
+        unread = {k: f"row {number[k]}: {e}" for k, e in errors.items()}
+        if not text.isascii() and any("\udc80" <= c <= "\udcff" for c in text):  # bytes that no text has
+            for k, r in enumerate(records):
+                if any("\udc80" <= c <= "\udcff" for v in r for c in v):
+                    unread[k], records[k] = f"row {number[k]}: invalid UTF-8", []
+        column = lambda k: pa.array([r[k] if k < len(r) else None for r in records], pa.string())
+        five, wrong = _by_columns(layout.columns, n, column, place) if layout.columns else _by_function(layout, records, place)
     numbers = pa.array(number)
     wrong = pc.if_else(pc.is_null(wrong), wrong, pc.binary_join_element_wise("parse error at row ", numbers.cast(pa.string()), ": ", pc.fill_null(wrong, ""), ""))
     if unread:
-        wrong = pc.coalesce(pa.array([unread.get(k) for k in range(len(records))], pa.string()), wrong)
+        wrong = pc.coalesce(pa.array([unread.get(k) for k in range(n)], pa.string()), wrong)
     good = pc.is_null(wrong)
     five = [pc.if_else(good, c, pa.scalar(None, pa.string())) for c in five]
     refs = pc.binary_join_element_wise(f"{layout.ref}:row:", numbers.cast(pa.string()), "").filter(good)

@@ -35,6 +35,8 @@ def test_two_column_amounts():
     assert [(r[2], r[3]) for r in got] == [("1299.00", "INR"), ("-1299.00", "INR"), ("75000.00", "INR")]
     assert counts(rows("hdfc", "Date,Narration,Withdrawal Amt.,Deposit Amt.\n01/02/26,x,-,\n")) == (0, 1)
     assert rows("hdfc", "Date,Narration,Withdrawal Amt.,Deposit Amt.\n01/02/26,x,5,0.00\n")[0][2] == "0.00"
+    short = rows("hdfc", "Date,Narration,Withdrawal Amt.,Deposit Amt.\n01/02/26,x\n01/02/26,x,5\n01/02/26\n")
+    assert [(r[2], r[-1]) for r in short] == [(None, "parse error at row 2: missing amount"), ("-5", None), (None, "parse error at row 4: missing field Narration")]
 
 
 def test_headers_and_short_records():
@@ -86,6 +88,31 @@ def test_any_bytes(content):
         assert all(len(r) == 8 for r in found)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab ,,,\n\n\r1.-é\u00a0", max_size=120), st.sampled_from(["Date,Description,Amount\n", "\n Amount ,date,Description\r\n", "\ufeffDate,Description,Amount,Currency\n"]))
+def test_plain_files_read_alike_either_way(text, head):
+    content = (head + text).encode()
+    layout = A.adapter("generic")
+
+    def tried():
+        try:
+            return list(A.parse(layout, content))
+        except A.SchemaError as e:
+            return str(e)
+
+    quick = tried()
+    plain, A._plain_columns = A._plain_columns, lambda content: None
+    try:
+        assert quick == tried()
+    finally:
+        A._plain_columns = plain
+
+
+def test_plain_files_are_read_by_columns():
+    assert A._plain_columns(GENERIC.encode()) is not None and A._plain_columns(b'a,"b"\n1,2\n') is None
+    assert A._plain_columns(b"a,b\n1\n") is None and A._plain_columns(b"a,b\n\xff,2\n") is None
+
+
 def test_read_and_convert(spark, tmp_path):
     for name, text in (("a.csv", GENERIC), ("b.csv", MALFORMED), ("c.csv", "Date,Description\n1,2\n"), ("d.csv", "Date,Description,Amount\nnot-a-date,x,1\n2026-01-01,x,0.00\n2026-01-01,x,abc\n")):
         (tmp_path / name).write_text(text)
