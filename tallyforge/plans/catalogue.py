@@ -273,6 +273,10 @@ CATALOGUE: dict[str, tuple[Query, str]] = {
         lambda s, d: V.table(s, d, "customer").select("c_custkey", S.bean_account(F.concat(F.lit("assets:"), F.lower("c_mktsegment"), F.lit(":a-"), F.col("c_custkey").cast("string"))).alias("account")),
         f"SELECT c_custkey, {_BEAN.format(chr(39) + 'assets:' + chr(39) + '||lower(c_mktsegment)||' + chr(39) + ':a-' + chr(39) + '||c_custkey')} AS account FROM customer",
     ),
+    "file_part": (
+        lambda s, d: V.table(s, d, "customer").select("c_custkey", S.file_part(F.concat(F.lit("assets:"), F.lower("c_mktsegment"), F.lit(":"), F.col("c_custkey").cast("string"))).alias("part")),
+        "SELECT c_custkey, 'assets_'||lower(c_mktsegment)||'_'||c_custkey AS part FROM customer",
+    ),
     "posting_literals": (
         lambda s, d: V.table(s, d, "orders").select("o_orderkey", S.posting_literal(F.concat(F.lit("Assets:Cash ="), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(": usd"))).alias("p")).select("o_orderkey", "p.account", "p.amount", "p.commodity"),
         "SELECT o_orderkey, 'assets:cash' AS account, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,10)) AS amount, 'USD' AS commodity FROM orders",

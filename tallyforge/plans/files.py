@@ -75,6 +75,18 @@ def lines(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     return rows.select((k % files).alias("file"), order.alias("n"), F.when(k % 113 == 0, short).otherwise(whole).alias("line"))
 
 
+def _mapped(get: statements.Fields, maybe: statements.Fields) -> tuple:
+    """A record of the custom layout by a function: one without a currency is an error."""
+    date = get("when")
+    if not maybe("cur"):
+        raise statements.RowError("no currency")
+    return date, get("how much"), maybe("cur"), get("what"), None
+
+
+#: A layout that isn't built in.
+PLUG_IN = statements.Adapter("own", "Own layout", ("when", "how much", "what"), "own", map=_mapped)
+
+
 def read(spark: SparkSession, sf_dir: str, layout: str, **caps) -> DataFrame:
     path = write(lines(spark, sf_dir, layout), HEADS[layout], scratch(spark, layout))
     adapter = CUSTOM if layout == "custom" else statements.adapter(layout)
@@ -133,6 +145,10 @@ QUERIES = {
         lambda s, d: rows_read(s, d, "custom"),
         _sql("custom", "amount", "code", "text", "price", "CASE WHEN short THEN 'missing field when' END"),
     ),
+    "source_plug_in": (
+        lambda s, d: statements.read(s, write(lines(s, d, "custom"), HEADS["custom"], scratch(s, "own")), PLUG_IN).select(F.regexp_extract("source_path", r"file=(\d+)/", 1).cast("long").alias("file"), "row_number", "date_raw", "amount_raw", "currency_raw", "description_raw", "balance_raw", F.array_join("source_refs", ",").alias("refs"), "parse_error"),
+        _sql("own", "amount", "code", "text", "CAST(NULL AS VARCHAR)", "CASE WHEN short THEN 'missing field when' WHEN code='' THEN 'no currency' END"),
+    ),
     "source_counts": (
         lambda s, d: statements.report(read(s, d, "generic_csv")).select(F.regexp_extract("source_path", r"file=(\d+)/", 1).cast("long").alias("file"), "ok_rows", "error_rows"),
         f"{_RECORDS} SELECT file, count(*) FILTER (NOT short AND amount<>'') AS ok_rows, count(*) FILTER (short OR amount='') AS error_rows FROM r GROUP BY file",

@@ -158,6 +158,31 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "form string, n long, sample string")
 
 
+def required(spark: SparkSession) -> DataFrame:
+    """What a command says where there is no workspace."""
+    try:
+        store.Workspace(spark, files.scratch(spark, "none"))
+    except store.LedgerError as e:
+        return _one(spark, "refused boolean, said string", True, re.sub("at .* \\(", "at ... (", str(e)))
+    return _one(spark, "refused boolean, said string", False, None)
+
+
+def plugged_in(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an exporter that isn't built in: payees, in the order of exports."""
+    t = made(spark, d)["w"].transactions()
+
+    def payees(rows: DataFrame) -> tuple[str, DataFrame, str]:
+        text = F.concat("payee", F.lit("\n"))
+        return "# payees\n", rows.where("duplicate_of is null").select("date", F.col("id").alias("transaction_id"), F.lit(0).alias("ordinal"), text.alias("text")), "# end\n"
+
+    export.EXPORTERS["payees"] = payees
+    try:
+        lines = export.export_text(t, "payees").splitlines()
+    finally:
+        del export.EXPORTERS["payees"]
+    return spark.createDataFrame([(x,) for x in lines], "line string").groupBy("line").agg(F.count("*").alias("copies"))
+
+
 _C = """WITH c AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey)+1 AS n, c_name, CAST(c_acctbal AS DECIMAL(18,2)) AS amount, make_date(2026,1,CAST(c_custkey%28+1 AS INTEGER)) AS date, c_custkey%50=0 AS bad FROM customer),
 g AS (SELECT * FROM c WHERE NOT bad AND amount<>0),
 a AS (SELECT g.*, account FROM g, (VALUES ('assets:bank:main'),('assets:bank:other')) x(account)),
@@ -228,6 +253,11 @@ QUERIES = {
         lambda s, d: guarded(s),
         r"SELECT name, name<>'' AND NOT list_contains(string_split(replace(name,'\','/'),'/'),'..') AS path_ok, NOT contains(name,'..') AND NOT contains(name,'/') AND NOT contains(name,'\') AS report_ok FROM (VALUES ('out.bean'),('a/b.csv'),('../x'),('a/../b'),(''),('a\..\b'),('..hidden'),('a..b')) x(name)",
     ),
+    "workspace_required": (lambda s, d: required(s), "SELECT true AS refused, 'no workspace at ... (run init)' AS said"),
+    "workspace_plug_in": (
+        plugged_in,
+        f"{_C} SELECT c_name AS line, count(*) AS copies FROM a GROUP BY ALL UNION ALL SELECT unnest(['# payees','lunch','# end']), 1",
+    ),
     "workspace_why": (
         explained,
         f"""{_C}, f AS (SELECT * FROM c WHERE n=3), s AS (SELECT date, c_name LIKE '%7' OR abs(amount)>=9000 AS tagged FROM f)
