@@ -165,7 +165,8 @@ def account_type(account: Column) -> Column:
 
 
 def _collapsed(text: Column) -> Column:
-    return F.regexp_replace(F.upper(trim_all(text)), r"(?U)\s+", " ")
+    """Upper-cased and trimmed, with a blank for each run of white space; runs that are a blank aren't touched."""
+    return F.regexp_replace(F.upper(trim_all(text)), r"(?U)\s{2,}|[^\S ]", " ")
 
 
 def _without_reference(whole: Column) -> Column:
