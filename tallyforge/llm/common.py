@@ -92,6 +92,14 @@ def text_key(texts: DataFrame, text: str = "text") -> Column:
     return F.when(first.isin(shared), F.xxhash64(F.lit(2), whole)).otherwise(first) if shared else first
 
 
+def give_back() -> None:
+    """Gives the memory that this process has no more use for back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which a worker, which other tasks use again, gives back the memory that it has no more use for."""
 
@@ -99,10 +107,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-            if trim:
-                trim(0)
+            give_back()
 
     return whole
 

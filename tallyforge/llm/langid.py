@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bound, slices, tidy
+from .common import give_back, hash_bound, slices, tidy
 
 BUCKETS, SIZE = 1 << 14, 16
 #: Rows of each language to fit on, in expectation, and most languages, those with most rows.
@@ -131,6 +131,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     rest = np.flatnonzero(~train)
     if len(rest):
         _calibrate(model, [rows[k] for k in rest], y[rest])
+    del got, lists, ids, values, rows
+    give_back()
     return model
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Windows, hash_bound, mix, per_text, slices, tidy, words
+from .common import SPACE, Windows, give_back, hash_bound, mix, per_text, slices, tidy, words
 
 #: Weights for each kind of n-gram.
 BUCKETS = 1 << 14
@@ -186,12 +186,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
     None if there are not both kinds of label.
     """
+    try:
+        return _fitted(_sample(docs, labels, rows))
+    finally:
+        give_back()
+
+
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> pa.Table:
+    """quality, part, ids and values of the sampled rows."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     bound = hash_bound(rows, one.count())
     chosen = (one if bound is None else one.where(F.xxhash64("doc_id") < bound)).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(4)))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `rows` ids
     texts = texts.groupBy("doc_id", "quality", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id may have very many rows
-    got = texts.select("text", "quality", "part").mapInArrow(tidy(_vectors), "quality int, part int, ids array<int>, values array<float>").toArrow()
+    return texts.select("text", "quality", "part").mapInArrow(tidy(_vectors), "quality int, part int, ids array<int>, values array<float>").toArrow()
+
+
+def _fitted(got: pa.Table) -> Model | None:
     if got.num_rows == 0:
         return None
     y, part = got.column("quality").to_numpy(), got.column("part").to_numpy()

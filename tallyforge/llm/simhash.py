@@ -536,6 +536,19 @@ def couples(rare: DataFrame, nodes: DataFrame, least: float, prints: DataFrame |
     return by.mapInArrow(tidy(_couples(least, prints is not None)), "a long, b long").distinct()
 
 
+def merged(known: DataFrame, found: DataFrame) -> DataFrame:
+    """known (key, component) with what more links, a written table (a, b), connect: components are made of those of known
+    that a link meets, not of keys again."""
+    if found.isEmpty():
+        return known
+    side = lambda c: known.select(F.col("key").alias(c), F.col("component").alias(f"of_{c}"))
+    met = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    new = written(components(met).select("node", F.col("component").alias("whole")), "merged")
+    old = known.join(new, known["component"] == new["node"], "left").select("key", F.coalesce("whole", "component").alias("component"))
+    others = new.join(known.select(F.col("key").alias("node")), "node", "left_anti").select(F.col("node").alias("key"), F.col("whole").alias("component"))
+    return written(old.unionByName(others), "nodes")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int = 3) -> DataFrame:
     """docs without near copies: of each group that similar texts connect, the row with the smallest doc_id stays.
 
@@ -548,9 +561,6 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int
     stays.
     """
 
-    def nodes(found: DataFrame) -> DataFrame:
-        return written(components(found).select(F.col("node").alias("key"), "component"), "nodes")
-
     plain, names = plain_names(docs)
     key = text_key(plain, names["text"])
     slim = plain.select(F.col(names["doc_id"]).alias("doc_id"), F.col(names["text"]).alias("text"), key.alias("key"))
@@ -560,12 +570,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, most: int
     near = links(prints, most)
     across = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     linked = written(similar(within.unionByName(across), slim, width, similarity), "similar")
-    known = nodes(linked)
+    known = written(components(linked).select(F.col("node").alias("key"), "component"), "nodes")
     rare = shared(slim, known, width, similarity)
-    linked = linked.unionByName(written(similar(couples(rare, known, similarity, prints), slim, width, similarity), "similar"))
-    linked = linked.unionByName(written(similar(couples(rare, nodes(linked), similarity, None, slim, width), slim, width, similarity), "similar"))
+    known = merged(known, written(similar(couples(rare, known, similarity, prints), slim, width, similarity), "similar"))
+    known = merged(known, written(similar(couples(rare, known, similarity, None, slim, width), slim, width, similarity), "similar"))
     least = prints.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("doc"))
-    labelled = least.join(nodes(linked), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    labelled = least.join(known, "key", "left").withColumn("component", F.coalesce("component", "key"))
     kept = labelled.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("one")).select(F.col("one.doc.doc_id").alias("_doc"), F.col("one.key").alias("_key"))
     rows = plain.select(F.struct(*plain.columns).alias("row"), F.col(names["doc_id"]).alias("_doc"), key.alias("_key"))
     match = (rows["_key"] == kept["_key"]) & rows["_doc"].eqNullSafe(kept["_doc"])
