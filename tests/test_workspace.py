@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_sources import GENERIC, MALFORMED
 
-from tallyforge import cli
+from tallyforge import cli, store
 from tallyforge.operators import events, export, ledger, rules
+from tallyforge.plans import workspace
+from tallyforge.sources import statements
 from tallyforge.store import LedgerError, Workspace, guard_path
 
 BANK = "assets:bank:checking"
@@ -149,3 +151,77 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert go("balance", *d, "--account", BANK, "--commodity", "USD") == 0
     assert capsys.readouterr().out.strip() == f"{BANK} 2409.2 USD"
+
+
+def _many(n):
+    return "Date,Description,Amount,Currency,Balance\n" + "".join(f"2026-01-{k % 28 + 1:02d},SHOP {k % 5},{'-' * (k % 2)}{k + 1}.50,USD,1\n" for k in range(n))
+
+
+def _whole(w):
+    """verify() holds the tables against the replayed log; these are the rows."""
+    w.verify()
+    return sorted((t.id, t.payee, t.duplicate_of, tuple(t.tags)) for t in w.transactions().collect())
+
+
+def test_rows_of_a_table_are_sealed_in_blocks_and_not_on_the_driver(spark, tmp_path, monkeypatch):
+    own = events.seal
+    sealed = []
+    monkeypatch.setattr(events, "SEALED", 16)
+    monkeypatch.setattr(events, "seal", lambda payloads, *tip: own(sealed.append(list(payloads)) or sealed[-1], *tip))
+    (tmp_path / "s.csv").write_text(_many(100))
+    w = Workspace.init(spark, str(tmp_path / "w"))
+    first = w.import_file(str(tmp_path / "s.csv"), BANK, "generic", commodity="USD")
+    assert (first.posted, first.skipped, first.rows, w.counts()["transactions"]) == (100, 0, 100, 100)
+    assert w.apply_rules([rules.Rule("shops", "expenses:shop", payee_regex="[12]$")])["applied"] == 40
+    assert max(map(len, sealed)) < 10  # accounts and the batch; posted and categorized events by tasks
+    log = w.table("log")
+    assert [r.seq for r in log.orderBy("seq").collect()] == list(range(1, log.count() + 1)) and events.broken(log).count() == 0
+    refs = [json.loads(json.loads(r.payload_json)["transaction"])["postings"][0]["memo"] for r in log.where("kind = 'posted'").orderBy("seq").collect()]
+    assert refs == [f"generic:row:{k}" for k in range(2, 102)]
+    assert sum(t[3] == ("category:expenses:shop",) for t in _whole(w)) == 40
+
+
+def test_changes_are_laid_over_the_transactions_or_written_into_them(spark, tmp_path, monkeypatch):
+    (tmp_path / "s.csv").write_text(_many(12))
+    w = Workspace.init(spark, str(tmp_path / "w"))
+    w.import_file(str(tmp_path / "s.csv"), BANK, "generic", commodity="USD")
+    posted = w.manifest["transactions"]
+    ids = [r.id for r in w.transactions().orderBy("id").collect()]
+    for category in ("expenses:a", "expenses:b"):
+        w.categorize(ids[0], category)
+    w.mark_duplicate(ids[1], ids[2])
+    assert w.manifest["transactions"] == posted and w.manifest["changed"] == 3  # what is there isn't written again
+    over = _whole(w)
+    assert over[0][3] == ("category:expenses:b",) and over[1][2] == ids[2]
+    monkeypatch.setattr(store, "CHANGES", 3)
+    w.categorize(ids[0], "expenses:c")
+    assert (len(w.manifest["transactions"]), w.manifest["changes"]) == (1, [])
+    w.categorize(ids[3], "expenses:d")
+    assert [t[3] for t in _whole(w)][:4] == [("category:expenses:c",), (), (), ("category:expenses:d",)] and _whole(w)[1][2] == ids[2]
+    laid = _whole(w)
+    assert w.rebuild() and _whole(w) == laid and w.manifest["changes"] == []
+
+
+def test_caps_of_an_import_can_be_raised(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(_many(8))
+    w = Workspace.init(spark, str(tmp_path / "w"))
+    for caps in ({"max_rows": 7}, {"max_bytes": 100}):
+        with pytest.raises(LedgerError):
+            w.import_file(str(tmp_path / "s.csv"), BANK, "generic", commodity="USD", **caps)
+    assert w.import_file(str(tmp_path / "s.csv"), BANK, "generic", commodity="USD", **workspace.UNCAPPED).posted == 8
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("shop"))
+    k = F.col("id")
+    customers = spark.range(60).select(k.alias("c_custkey"), F.format_string("Customer#%09d", k).alias("c_name"), (k * 200 - 999).cast("double").alias("c_acctbal"))
+    customers.coalesce(1).write.parquet(f"{d}/customer.parquet")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(statements, "MAX_BYTES", 100)  # the customers' statement is larger
+        workspace.made(spark, d)
+    return d
+
+
+def test_all_customers_are_imported_however_large_their_statement_is(spark, shop):
+    assert [(i.posted, i.skipped, i.rows) for i in workspace.made(spark, shop)["imports"]] == [(58, 0, 60), (0, 58, 60), (58, 0, 60)]
