@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_sources import GENERIC, MALFORMED
 
 from tallyforge import cli, store
-from tallyforge.operators import events, export, ledger, rules
+from tallyforge.operators import events, export, ledger, reconcile, rules
 from tallyforge.plans import workspace
 from tallyforge.sources import statements
 from tallyforge.store import LedgerError, Workspace, guard_path
@@ -225,3 +225,20 @@ def shop(spark, tmp_path_factory):
 
 def test_all_customers_are_imported_however_large_their_statement_is(spark, shop):
     assert [(i.posted, i.skipped, i.rows) for i in workspace.made(spark, shop)["imports"]] == [(58, 0, 60), (0, 58, 60), (58, 0, 60)]
+
+
+def test_lines_of_a_proof_stay_where_they_lie(spark, tmp_path):
+    w = Workspace.init(spark, str(tmp_path / "w"))
+    rent = w.transfer("2026-02-02", "rent", "assets:bank", "expenses:rent", "120.50", "INR")
+    zero = w.add_transaction("2026-02-01", "zero", ["assets:bank=5:INR", "assets:bank=-5:INR"])
+    late = w.transfer("2026-02-09", "late", "expenses:rent", "assets:bank", "1000", "INR")
+    twice = w.transfer("2026-02-02", "rent", "assets:bank", "expenses:rent", "120.50", "INR")
+    w.mark_duplicate(twice, rent)
+    t, path = w.reconcile("assets:bank", "1", "2026-02-05", "INR", "0")
+    lines = reconcile.lines(w.transactions(), "assets:bank", "INR", "2026-02-05").repartition(3)
+    parts = reconcile.proof_parts("assets:bank", "INR", "2026-02-05", lines, reconcile.summary(lines, "1"))
+    assert [[r.value for r in p.collect()] for p in parts if not isinstance(p, str)] == [[f"| 2026-02-01 | `{zero}` | zero | 0 |", f"| 2026-02-02 | `{rent}` | rent | -120.5 |"], [f"| 2026-02-02 | `{twice}` | rent | -120.5 |"], [f"| 2026-02-09 | `{late}` | late | 1000 |"]]
+    table = "| date | tx | payee | amount |\n|---|---|---|---|\n"
+    text = open(path).read()
+    assert text.endswith(f"- unmatched: 2\n\n## Included postings (skip duplicates)\n\n{table}| 2026-02-01 | `{zero}` | zero | 0 |\n| 2026-02-02 | `{rent}` | rent | -120.5 |\n\n## Skipped duplicates\n\n{table}| 2026-02-02 | `{twice}` | rent | -120.5 |\n\n## After as_of (excluded)\n\n{table}| 2026-02-09 | `{late}` | late | 1000 |\n")
+    assert os.listdir(os.path.dirname(path)) == [os.path.basename(path)] or all(".crc" in f for f in os.listdir(os.path.dirname(path)) if f != os.path.basename(path))
