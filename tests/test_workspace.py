@@ -242,3 +242,16 @@ def test_lines_of_a_proof_stay_where_they_lie(spark, tmp_path):
     text = open(path).read()
     assert text.endswith(f"- unmatched: 2\n\n## Included postings (skip duplicates)\n\n{table}| 2026-02-01 | `{zero}` | zero | 0 |\n| 2026-02-02 | `{rent}` | rent | -120.5 |\n\n## Skipped duplicates\n\n{table}| 2026-02-02 | `{twice}` | rent | -120.5 |\n\n## After as_of (excluded)\n\n{table}| 2026-02-09 | `{late}` | late | 1000 |\n")
     assert os.listdir(os.path.dirname(path)) == [os.path.basename(path)] or all(".crc" in f for f in os.listdir(os.path.dirname(path)) if f != os.path.basename(path))
+
+
+def test_exports_do_not_reach_the_driver(spark, shop, monkeypatch):
+    monkeypatch.setattr(export, "export_text", None)
+    assert [tuple(r) for r in workspace.exported(spark, shop).collect()] == [("csv", 235, export.CSV_HEAD), ("json", 117, "2026-01-01"), ("beancount", 117, 'option "operating_currency" "USD"')]
+
+
+@pytest.mark.parametrize("form", ["csv", "json", "beancount"])
+def test_export_files_are_the_export(spark, shop, tmp_path, form):
+    t = workspace.made(spark, shop)["w"].transactions()
+    export.export_files(t.repartition(3), form, f"file://{tmp_path}/x")
+    lines = [r.value for part in ("head", "rows", *["tail"] * (form == "json")) for r in spark.read.text(f"file://{tmp_path}/x/{part}", lineSep="\n").toLocalIterator()]
+    assert "\n".join(lines).rstrip("\n") == export.export_text(t, form).rstrip("\n")
