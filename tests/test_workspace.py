@@ -255,3 +255,18 @@ def test_export_files_are_the_export(spark, shop, tmp_path, form):
     export.export_files(t.repartition(3), form, f"file://{tmp_path}/x")
     lines = [r.value for part in ("head", "rows", *["tail"] * (form == "json")) for r in spark.read.text(f"file://{tmp_path}/x/{part}", lineSep="\n").toLocalIterator()]
     assert "\n".join(lines).rstrip("\n") == export.export_text(t, form).rstrip("\n")
+
+
+def test_files_of_a_plug_in_are_its_export(work, spark, tmp_path, monkeypatch):
+    w, _ = work
+    order = (F.col("id").alias("transaction_id"), F.lit(0).alias("ordinal"))
+    monkeypatch.setitem(export.EXPORTERS, "own", lambda t: ("# head\n", t.select("date", *order, F.concat("payee", F.lit("\n")).alias("text")), "# end\n"))
+    export.export_files(w.transactions(), "own", f"file://{tmp_path}/own")
+    lines = [r.value for part in ("head", "rows", "tail") for r in spark.read.text(f"file://{tmp_path}/own/{part}").collect()]
+    assert lines == export.export_text(w.transactions(), "own").splitlines() and lines[-1] == "# end"
+
+
+def test_lines_of_a_plug_in_do_not_reach_the_driver(spark, shop, monkeypatch):
+    monkeypatch.setattr(export, "export_text", None)
+    lines = {r.line: r.copies for r in workspace.plugged_in(spark, shop).collect()}
+    assert (len(lines), lines["Customer#000000007"], lines["# end"], lines["lunch"]) == (61, 2, 1, 1)
