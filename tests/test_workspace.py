@@ -270,3 +270,15 @@ def test_lines_of_a_plug_in_do_not_reach_the_driver(spark, shop, monkeypatch):
     monkeypatch.setattr(export, "export_text", None)
     lines = {r.line: r.copies for r in workspace.plugged_in(spark, shop).collect()}
     assert (len(lines), lines["Customer#000000007"], lines["# end"], lines["lunch"]) == (61, 2, 1, 1)
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+def test_the_chain_is_checked_without_moving_payloads(work):
+    plan = events.broken(work[0].table("log"))._jdf.queryExecution().optimizedPlan()
+    sorted_ = [{n.output().apply(k).name() for k in range(n.output().size())} for n in _nodes(plan) if n.nodeName() == "Window"]
+    assert any("content_hash" in names for names in sorted_) and not any("payload_json" in names for names in sorted_)
