@@ -282,3 +282,11 @@ def test_the_chain_is_checked_without_moving_payloads(work):
     plan = events.broken(work[0].table("log"))._jdf.queryExecution().optimizedPlan()
     sorted_ = [{n.output().apply(k).name() for k in range(n.output().size())} for n in _nodes(plan) if n.nodeName() == "Window"]
     assert any("content_hash" in names for names in sorted_) and not any("payload_json" in names for names in sorted_)
+
+
+def test_ledgers_are_made_once_to_be_compared(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 3)], "id string, x int")
+    right = spark.createDataFrame([("a", 1), ("b", 5), ("c", 3)], "id string, x int")
+    found = events.differences(left, right)
+    assert sorted((r.id, r.side) for r in found.collect()) == [("a", "left"), ("b", "left"), ("b", "right")]
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
