@@ -8,7 +8,7 @@ from test_sources import GENERIC, MALFORMED
 
 from tallyforge import cli, store
 from tallyforge.operators import events, export, ledger, reconcile, rules
-from tallyforge.plans import workspace
+from tallyforge.plans import files, workspace
 from tallyforge.sources import statements
 from tallyforge.store import LedgerError, Workspace, guard_path
 
@@ -290,3 +290,27 @@ def test_ledgers_are_made_once_to_be_compared(spark):
     found = events.differences(left, right)
     assert sorted((r.id, r.side) for r in found.collect()) == [("a", "left"), ("b", "left"), ("b", "right")]
     assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+@pytest.fixture
+def cluster(spark, tmp_path, monkeypatch):
+    """As on a cluster whose shared folder is named without a scheme: a path of the default file system."""
+    own = type(spark.conf).get
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://127.0.0.1:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: str(tmp_path / "shared") if key == "spark.checkpoint.dir" else own(self, key, *default))
+    return tmp_path
+
+
+def test_the_shared_folder_may_be_named_without_a_scheme(spark, cluster):
+    w = Workspace.init(spark, files.scratch(spark, "workspace"))
+    assert w.path.startswith(f"file:{cluster}/shared/workspace-")
+    path = files.write(spark.createDataFrame([(0, k, line) for k, line in enumerate(_many(3).splitlines()[1:])], "file long, n long, line string"), files.HEADS["generic_csv"], files.scratch(spark, "statement"))
+    assert w.import_file(path, BANK, "generic", commodity="USD").posted == 3
+    assert workspace.required(spark).first().said == "no workspace at ... (run init)"
+
+
+def test_a_path_of_a_person_needs_a_scheme_on_a_cluster(spark, cluster):
+    with pytest.raises(LedgerError, match="needs the scheme"):
+        Workspace.init(spark, str(cluster / "w"))
+    assert Workspace.init(spark, f"file:{cluster}/w").schema_version() == store.SCHEMA_VERSION
+    assert [store.has_scheme(p) for p in ("hdfs://h/x", "file:/x", "viewfs:/x", "/x", "x/y", "a:b", "c:/x")] == [True, True, True, False, False, False, False]
